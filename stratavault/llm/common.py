@@ -68,7 +68,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 def input_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate of a plan (file sizes for a scan)."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return min(int(str(size.toString())), 1 << 60)
+    return min(int(str(size)), 1 << 60)
 
 
 def bucket_count(df: DataFrame, bytes_each: int) -> int:

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from . import best_fit_packing, language_id, secret_scan, source_mixing, warc_chain
+from . import best_fit_packing, language_id, minhash_dedup, secret_scan, source_mixing, substring_dedup, warc_chain
 
 QUERIES = {
     "op2_language_id": language_id.op2_language_id,
+    "op3_near_duplicates": minhash_dedup.op3_near_duplicates,
     "op4_packing": best_fit_packing.op4_packing,
     "op5_warc": warc_chain.op5_warc,
     "op7_secret_scan": secret_scan.op7_secret_scan,
     "op9_source_mixing": source_mixing.op9_source_mixing,
+    "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
 
 ORACLES = {
+    "op3_near_duplicates": minhash_dedup.OP3_SQL,
+    "op10_substring_dedup": substring_dedup.OP10_SQL,
     "op5_warc": warc_chain.OP5_SQL,
 }

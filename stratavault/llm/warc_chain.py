@@ -51,6 +51,7 @@ def records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("payload"))
     source = source.withColumns({"payload_digest": base32_sha1(F.col("payload").cast("binary")), "payload_bytes": F.octet_length("payload").cast("long")})
     first = source.groupBy(F.col("payload_digest").alias("digest"), F.col("payload_bytes").alias("bytes")).agg(F.max("page_id").alias("first_id"))
+    first = materialize(first, "warc-first")  # so that the join below can split a frequent payload
     joined = source.join(first, (F.col("payload_digest") == F.col("digest")) & (F.col("payload_bytes") == F.col("bytes")))
     revisit = (F.col("payload_bytes") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     return joined.select(
