@@ -61,6 +61,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     reads columnar."""
     spark = df.sparkSession
     path = new_path(spark, label)
+    # shuffle files of a finished write are of no further use
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

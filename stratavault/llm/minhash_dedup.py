@@ -4,8 +4,8 @@ Two collections of ``tables`` sub-keys each are computed for a document, every
 sub-key from ``rows`` minhashes.  A table key combines one sub-key of either
 collection, so tables**2 keys of 2 * rows minhashes need only 2 * tables * rows
 minhashes.  Two documents of similarity s miss each other with probability
-1 - (1 - (1 - s**rows)**tables)**2: with 3 rows and 20 tables 1.2e-6 at 0.8 and
-less above.
+1 - (1 - (1 - s**rows)**tables)**2: with 3 rows and 16 tables 2.1e-5 at 0.8,
+5e-7 at 0.85 and less above.
 
 1. Documents with the same shingle set collapse to one representative.
 2. Representatives meet by hash bucket of their first sub-keys; a task expands
@@ -279,7 +279,7 @@ def _confirm(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows: int = 3, tables: int = 20) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows: int = 3, tables: int = 16) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id, kept.
 
     Links join documents whose shingle sets have a Jaccard similarity of

@@ -221,6 +221,30 @@ def redact(text: str | None, spans: list[tuple[int, int, str]], mark: str = "[se
     return "".join(out)
 
 
+def redact_documents(docs: DataFrame, threshold: float = 0.6) -> DataFrame:
+    """``docs`` with every span in ``text`` masked, and ``n_chars``, if there,
+    counted anew for the rows that changed."""
+    fields = docs.schema.fields
+    names = [f.name for f in fields]
+    place = names.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in pieces(batch.column(place), 1 << 21):
+                part = batch.slice(a, b - a)
+                text = part.column(place)
+                changed = {i: redact(text[i].as_py(), found) for i, found in enumerate(spans_of(text, threshold)) if found}
+                columns = list(part.columns)
+                if changed:
+                    columns[place] = pa.array([changed.get(i, x) for i, x in enumerate(text.to_pylist())], text.type)
+                    if "n_chars" in names:
+                        at = names.index("n_chars")
+                        columns[at] = pa.array([len(changed[i]) if i in changed else x for i, x in enumerate(columns[at].to_pylist())], columns[at].type)
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets in every document, with counts and a digest of the base layer."""
     found = scan(table(spark, sf_dir, "documents"), ["doc_id"])
