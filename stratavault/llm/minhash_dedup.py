@@ -12,9 +12,11 @@ minhashes.  Two documents of similarity s miss each other with probability
    the products only among those that share one.  In each key group every
    member is paired with the smallest member.
 3. Candidates are confirmed on their full shingle sets; links give components.
-4. Keys whose members lie in several components are looked up again, and all
-   pairs across components with fitting sizes are confirmed as well.  So every
-   link between documents that share a key counts, with no cap on groups.
+4. Keys whose members lie in several components hold these together as a
+   family.  A family's members meet in pairs of bounded blocks, where exact
+   bounds on sizes and on shingle counts by bin leave few pairs across
+   components to confirm.  So every link between documents that share a key
+   counts, with no cap on groups.
 
 Before an exchange, a task collapses members of the same key to the smallest
 one it has, so a group of near copies costs a task one entry a key.
@@ -264,6 +266,66 @@ def _sets(width: int):
     return run
 
 
+def _pack_block(t: pa.Table) -> pa.Table:
+    """The members of a block in one row."""
+    sets = t["shingles"].to_pylist()
+    first = np.r_[0, np.cumsum([len(x) // 8 for x in sets])]
+    return pa.table({"family": t["family"].slice(0, 1), "x": t["block"].slice(0, 1), "blocks": t["blocks"].slice(0, 1), "ids": [blob(t["rep"].to_numpy())], "comps": [blob(t["component"].to_numpy())], "first": [blob(first)], "sets": [b"".join(sets)]})
+
+
+_BINS = 512
+
+
+def _cross_blocks(percent: int):
+    """Links between two blocks of a family.
+
+    A pair is left out if its members are in one component already, or if their
+    counts of shingles by bin show that they can't reach the similarity: what two
+    sets share in a bin is at most the smaller of both counts."""
+
+    def members(row: dict, side: str) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+        ids, comps = np.frombuffer(row[f"ids_{side}"], "<i8"), np.frombuffer(row[f"comps_{side}"], "<i8")
+        first, data = np.frombuffer(row[f"first_{side}"], "<i8"), np.frombuffer(row[f"sets_{side}"], "<u8")
+        sets = [data[a:b] for a, b in zip(first[:-1], first[1:])]
+        return ids, comps, sets, np.stack([np.bincount((x >> _U(40)).astype(np.int64) % _BINS, minlength=_BINS) for x in sets]).astype(np.int32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
+                ids_x, comps_x, sets_x, bins_x = members(row, "x")
+                ids_y, comps_y, sets_y, bins_y = members(row, "y")
+                size_y = bins_y.sum(1)
+                above: dict[int, int] = {}
+
+                def top(c: int) -> int:
+                    while c in above:
+                        c = above[c]
+                    return c
+
+                found = []
+                for i in range(len(ids_x)):
+                    n = len(sets_x[i])
+                    fit = np.flatnonzero((comps_y != comps_x[i]) & (100 * np.minimum(n, size_y) >= percent * np.maximum(n, size_y)))
+                    if not len(fit):
+                        continue
+                    most = np.minimum(bins_x[i], bins_y[fit]).sum(1)
+                    for j in fit[100 * most >= percent * (n + size_y[fit] - most)].tolist():
+                        p, q = top(int(comps_x[i])), top(int(comps_y[j]))
+                        if p == q:
+                            continue
+                        both = np.concatenate([sets_x[i], sets_y[j]])
+                        both.sort()
+                        same = int((both[1:] == both[:-1]).sum())
+                        if 100 * same >= percent * (len(both) - same):
+                            above[max(p, q)] = min(p, q)
+                            found.append((ids_x[i], ids_y[j]))
+                a, b = zip(*found) if found else ((), ())
+                yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -279,7 +341,7 @@ def _confirm(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows: int = 3, tables: int = 16) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows: int = 3, tables: int = 16, block: int = 256) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id, kept.
 
     Links join documents whose shingle sets have a Jaccard similarity of
@@ -311,15 +373,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows:
     mixed = again.mapInArrow(_send_keys(tables, buckets, False), _SENT).groupBy("bucket").applyInArrow(_mixed(tables), "k long, j int, second int, component long")
     mixed = materialize(mixed, "near-mixed")
     if mixed.take(1):
-        inside = again.join(mixed.select("component").distinct(), "component", "left_semi").select("rep", "n", "component", F.explode("a").alias("k"), "b")
-        wanted = mixed.select("k", "j", "second").distinct()
-        members = inside.join(wanted, "k").where(F.get("b", F.col("j")) == F.col("second")).select("k", "j", "second", "rep", "n", "component")
-        members = materialize(members, "near-members")
-        x, y = members.alias("x"), members.alias("y")
-        cross = x.join(y, [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("k", "j", "second")]).where("x.component < y.component")
-        cross = cross.where(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")
-        cross = cross.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct()
-        more = materialize(confirmed(cross), "near-more")
+        # families: components that keys hold together; their members meet in pairs of blocks
+        key = ["k", "j", "second"]
+        least = materialize(mixed.groupBy(*key).agg(F.min("component").alias("a")), "near-least")
+        family = components(mixed.join(least, key).select("a", F.col("component").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("family"))
+        inside = materialize(again.select("rep", "component").join(family, "component"), "near-inside")
+        sizes = materialize(inside.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")), "near-sizes")
+        dealt = inside.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        dealt = dealt.join(sets.dropDuplicates(["id"]), F.col("rep") == F.col("id")).select("family", "block", "blocks", "rep", "component", "shingles")
+        packed = dealt.groupBy("family", "block").applyInArrow(_pack_block, "family long, x int, blocks int, ids binary, comps binary, first binary, sets binary")
+        packed = materialize(packed, "near-blocks")
+        wide = ["ids", "comps", "first", "sets"]
+        left = packed.select("family", "x", F.explode(F.expr("sequence(x, blocks - 1)")).alias("y"), *[F.col(c).alias(f"{c}_x") for c in wide])
+        right = packed.select("family", F.explode(F.expr("sequence(0, x)")).alias("z"), F.col("x").alias("y"), *[F.col(c).alias(f"{c}_y") for c in wide]).withColumnRenamed("z", "x")
+        more = materialize(left.join(right, ["family", "x", "y"]).mapInArrow(_cross_blocks(percent), "a long, b long"), "near-more")
         if more.take(1):
             named = materialize(components(links.union(more)), "near-components")
     classes = reps.join(named, reps.rep == named.node, "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component"))
