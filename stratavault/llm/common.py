@@ -68,9 +68,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of a plan (file sizes for a scan)."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return min(int(str(size)), 1 << 60)
+    """The optimizer's size estimate of a plan (file sizes for a scan); where it
+    knows nothing (petabytes and more), the texts are measured."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 52:
+        texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema.fields if f.dataType.simpleString() in ("string", "binary")]
+        size = int(df.agg(F.sum(sum(texts, F.lit(0)).cast("decimal(38,0)"))).first()[0] or 0)
+    return size
 
 
 def bucket_count(df: DataFrame, bytes_each: int) -> int:
@@ -79,7 +83,7 @@ def bucket_count(df: DataFrame, bytes_each: int) -> int:
     partition so that tasks stay even."""
     spark = df.sparkSession
     least = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, -(-input_bytes(df) // bytes_each))
+    return min(1 << 24, max(least, -(-input_bytes(df) // bytes_each)))
 
 
 def word_count(text: F.Column) -> F.Column:

@@ -211,7 +211,7 @@ def _entries(group: pa.Table, tables: int) -> _Entries:
     key, doc = joined(group["keys"], "<u8"), joined(group["docs"], "<i8")
     comp = joined(group["comps"], "<i8")
     second = joined(group["seconds"], "<u4").reshape(-1, tables)
-    mask = np.unpackbits(joined(group["masks"], "u1").reshape(len(key), -1), axis=1)[:, :tables].astype(bool)
+    mask = np.unpackbits(joined(group["masks"], "u1").reshape(len(key), -(-tables // 8)), axis=1)[:, :tables].astype(bool)
     return _Entries(key, doc, joined(group["ns"], "<i8"), comp if len(comp) else np.zeros(len(key), np.int64), second, mask)
 
 
