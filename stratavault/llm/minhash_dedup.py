@@ -388,7 +388,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows:
         right = packed.select("family", F.explode(F.expr("sequence(0, x)")).alias("z"), F.col("x").alias("y"), *[F.col(c).alias(f"{c}_y") for c in wide]).withColumnRenamed("z", "x")
         more = materialize(left.join(right, ["family", "x", "y"]).mapInArrow(_cross_blocks(percent), "a long, b long"), "near-more")
         if more.take(1):
-            named = materialize(components(links.union(more)), "near-components")
+            stars = named.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            named = materialize(components(stars.union(more)), "near-components")
     classes = reps.join(named, reps.rep == named.node, "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component"))
     classes = materialize(classes, "near-classes")
     out = signed.alias("s").join(classes.alias("c"), (F.col("s.s1") == F.col("c.s1")) & (F.col("s.s2") == F.col("c.s2")) & (F.col("s.n") == F.col("c.n")) & F.col("s.doc_id").isNotNull(), "left")
