@@ -104,7 +104,8 @@ def _field(head: F.Column, name: str) -> F.Column:
 
 
 def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """Every chunk with its offset, its parsed header and its successor's offset.
+    """Every chunk with its offset, its parsed header, its successor's offset and
+    its island: a run of candidates each of which is the successor of the last.
 
     Offsets are running sums of chunk lengths within a file; only narrow rows
     go through that window."""
@@ -129,7 +130,10 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     # the first chunk of a file lies before its first version line
     placed = narrow.withColumns({"nth": F.row_number().over(order) - 1, "at": F.coalesce(place, F.lit(0)) - len(VERSION)})
     step = F.col("at") + len(VERSION) + F.col("head_bytes") + F.col("content_length") + 4
-    return placed.withColumn("next_at", F.when(F.col("record_type").isNotNull() & (step <= F.col("file_size")), step))
+    placed = placed.withColumn("next_at", F.when(F.col("record_type").isNotNull() & (step <= F.col("file_size")), step))
+    follows = F.coalesce(F.lag("next_at").over(order) == F.col("at"), F.lit(False))
+    fresh = F.when((F.col("nth") == 0) | follows, 0).otherwise(1)
+    return placed.withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("fresh")
 
 
 def _payload(content: F.Column) -> dict[str, F.Column]:
@@ -145,16 +149,17 @@ def _payload(content: F.Column) -> dict[str, F.Column]:
     }
 
 
-def _reachable(found: DataFrame) -> DataFrame:
-    """The candidates on the chain of successors from the start of their file."""
-    keys = found.where("nth > 0").select("file", "nth", "at", "next_at")
-    order = Window.partitionBy("file").orderBy("nth")
-    follows = F.coalesce(F.lag("next_at").over(order) == F.col("at"), F.lit(False))
-    marked = keys.withColumn("fresh", F.when(follows, 0).otherwise(1))
-    marked = materialize(marked.withColumn("island", F.sum("fresh").over(order)).drop("fresh"), "warc-islands")
-    islands = marked.groupBy("file", "island").agg(F.min("at").alias("begin"), F.max_by("next_at", "nth").alias("exit"))
-    inner = marked.select("file", F.col("at").alias("exit"), F.col("island").alias("next"))
-    jump = materialize(islands.join(inner, ["file", "exit"], "left").select("file", "island", "begin", "exit", "next"), "warc-jumps")
+def _entries(found: DataFrame) -> DataFrame:
+    """The islands on the chain of successors from the start of their file:
+    file, island, entry (the offset at which the chain enters the island).
+
+    There is one row for each file and for each place where a payload holds a
+    version line, so what moves here doesn't grow with ordinary records."""
+    keys = found.where("nth > 0")
+    islands = materialize(keys.groupBy("file", "island").agg(F.min("at").alias("begin"), F.max_by("next_at", "nth").alias("exit")), "warc-islands")
+    inner = keys.select("file", F.col("at").alias("exit"), F.col("island").alias("next"))
+    hits = inner.join(islands.select("file", "exit", "island"), ["file", "exit"]).select("file", "island", "next")
+    jump = materialize(islands.join(hits, ["file", "island"], "left"), "warc-jumps")
     reach = jump.where("begin = 0").select("file", "island")
     hop, known = jump.where("next is not null").select("file", "island", "next"), reach.count()
     while hop.take(1):
@@ -166,9 +171,7 @@ def _reachable(found: DataFrame) -> DataFrame:
         hop = materialize(hop.join(further, ["file", "next"]).select("file", "island", F.col("after").alias("next")), "warc-hops")
     entered = jump.join(reach, ["file", "island"]).where("next is not null").select("file", F.col("next").alias("island"), F.col("exit").alias("entry"))
     start = jump.where("begin = 0").select("file", "island", F.lit(0).cast("long").alias("entry"))
-    entries = entered.union(start).groupBy("file", "island").agg(F.max("entry").alias("entry"))
-    on_chain = marked.join(entries, ["file", "island"]).where("at >= entry")
-    return on_chain.select("file", "nth")
+    return entered.union(start).groupBy("file", "island").agg(F.max("entry").alias("entry"))
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -179,8 +182,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     from the headers on revisits; ``intact`` says whether the measured digest
     and length equal the stated ones (null on revisits)."""
     found = materialize(candidates(spark, path), "warc-places")
-    chain = materialize(_reachable(found), "warc-chain")
-    kept = found.join(chain, ["file", "nth"])
+    entries = materialize(_entries(found), "warc-entries")
+    kept = found.join(entries, ["file", "island"]).where("at >= entry")
     cut = kept.where("not whole").select("file", F.col("at").alias("owner"), F.col("next_at").alias("until"), F.col("head_bytes").alias("skip"), F.col("content_length").alias("length"))
     if cut.take(1):
         lies = F.last("owner", ignorenulls=True).over(Window.partitionBy("file").orderBy("nth"))
