@@ -10,8 +10,9 @@ looks like a key.  Literals at or over ``threshold`` become spans of kind
 ``lexed`` unless a base span already covers them.
 
 Texts are screened first: a byte-level pass over the whole Arrow batch finds
-texts that hold a long hexadecimal run, and substring searches find the rest;
-only those run the exact patterns, which then decide alone.
+texts that hold a long hexadecimal run, and substring searches over the letters
+and digits alone, as names are scored, find the rest; only those run the exact
+patterns, which then decide alone.
 
 Defined results: null and empty texts have no spans; repeated rows each get
 their row; an empty table gives an empty result.
@@ -44,9 +45,9 @@ _NAMES = (
     ("password", 1.0), ("passwd", 1.0), ("passphrase", 1.0), ("pwd", 0.9), ("secret", 1.0), ("token", 0.9), ("apikey", 1.0),
     ("accesskey", 0.9), ("privatekey", 1.0), ("credential", 0.8), ("authorization", 0.8), ("bearer", 0.8), ("signingkey", 0.9),
 )
-#: Every name above and every base pattern holds one of these, in lower case.
-_MARKS = (b"passw", b"passphrase", b"pwd", b"secret", b"token", b"api", b"access", b"private", b"credential", b"authorization", b"bearer", b"signing")
-_SCREEN = re.compile(r"passw|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|authorization|bearer|signing[_-]?key", re.IGNORECASE | re.ASCII)
+#: Letters that Unicode lowers to an ASCII letter (the Kelvin sign, dotted I), as UTF-8.
+_ODD = ("\u212a".encode(), "\u0130".encode())
+_DROPPED = re.compile(r"[^a-z0-9\n]+")
 
 _TOKEN = re.compile(
     r"""(?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')"""
@@ -75,6 +76,14 @@ def sensitivity(name: str) -> float:
     return max((w for n, w in _NAMES if n in flat), default=0.0)
 
 
+def may_bind(text: str) -> bool:
+    """Whether some target name of the text can be sensitive: ``sensitivity``
+    looks at letters and digits alone, so the text is searched without the rest.
+    No name reaches over a line end."""
+    flat = _DROPPED.sub("", text.lower())
+    return any(n in flat for n, _ in _NAMES)
+
+
 def key_likeness(literal: str) -> float:
     """0 to 1: length, character classes and entropy of a literal."""
     if len(literal) < 8 or literal.isspace() or re.search(r"\s", literal):
@@ -141,7 +150,7 @@ def find_spans(text: str | None, threshold: float = 0.6) -> list[tuple[int, int,
         return []
     base = base_spans(text)
     extra = []
-    if _SCREEN.search(text):
+    if may_bind(text):
         extra = [x for x in lexed_spans(text, threshold) if not any(s <= x[0] and x[1] <= e for s, e, _ in base)]
     return sorted(base + extra, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
@@ -164,16 +173,24 @@ def _long_runs(data: np.ndarray, places: np.ndarray, least: int = 24) -> np.ndar
     return out
 
 
+_FLAT = np.zeros(256, bool)
+_FLAT[[*b"abcdefghijklmnopqrstuvwxyz0123456789\n"]] = True
+
+
 def _marked(data: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """Texts that hold a sensitive word (ASCII letters of either case) or AKIA."""
+    """Texts that hold a sensitive name, whatever stands between its letters, or
+    AKIA.  Every base pattern holds such a name."""
     out = np.zeros(len(places) - 1, bool)
-    low, raw = _LOWER[data].tobytes(), data.tobytes()
-    for whole, mark in [(low, m) for m in _MARKS] + [(raw, b"AKIA")]:
+    low = _LOWER[data]
+    keep = _FLAT[low]
+    flat_places = np.r_[0, np.cumsum(keep)][places]
+    flat, raw = low[keep].tobytes(), data.tobytes()
+    for whole, starts, mark in [(flat, flat_places, n.encode()) for n, _ in _NAMES] + [(raw, places, m) for m in (b"AKIA", *_ODD)]:
         at = whole.find(mark)
         while at >= 0:
-            row = int(np.searchsorted(places, at, side="right")) - 1
+            row = int(np.searchsorted(starts, at, side="right")) - 1
             out[row] = True
-            at = whole.find(mark, int(places[row + 1]))  # a hit that spans two texts only adds a candidate
+            at = whole.find(mark, int(starts[row + 1]))  # a hit that spans two texts only adds a candidate
     return out
 
 

@@ -170,6 +170,25 @@ def test_secrets():
     assert secret_scan.redact("a token=abcdefgh12 b", secret_scan.find_spans("a token=abcdefgh12 b")) == "a [secret] b"
 
 
+def test_secrets_under_any_sensitive_name():
+    names = ["service.api.key", "access.key", "signing.key", "'private key'", "api--key", "pass_word", "pass-phrase", '"to\u212aen"', "'p w d'", "a.uthor.iz.ation", '"cred\u2014ent\u0130al"']
+    texts = [f"# settings\n{name} = 'aB3dE5gH7jK9mN1p'\nport = 8080\n" for name in names]
+    for text, found in zip(texts, secret_scan.spans_of(pa.array(["", *texts, None]))[1:]):
+        at = text.index("aB3d")
+        assert found == [(at, at + 16, "lexed")], text
+    rng = random.Random(9)
+    parts = ["api", "key", "pass", "word", "sec", "ret", "to", "ken", ".", "-", "_", " ", "'", '"', "\n", " = ", ": ", "'aB3dE5gH7jK9mN1p'", "K", "\u00e9"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(12))) + rng.choice(["", " = 'aB3dE5gH7jK9mN1p'", ": x"]) for _ in range(5000)]
+
+    def whole(text):  # both layers on every text, without a screen
+        base = secret_scan.base_spans(text)
+        extra = [x for x in secret_scan.lexed_spans(text) if not any(s <= x[0] and x[1] <= e for s, e, _ in base)]
+        return sorted(base + extra, key=lambda x: (x[0], secret_scan.KINDS.index(x[2]), x[1]))
+
+    got = secret_scan.spans_of(pa.array(texts))
+    assert got == [whole(t) for t in texts] and sum(map(bool, got)) > 20
+
+
 def test_mixing(docs):
     one, two = ({(r["doc_id"], r["taken"]) for r in source_mixing.mix_sources(docs).collect()} for _ in "12")
     assert one == two
