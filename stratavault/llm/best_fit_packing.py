@@ -17,7 +17,8 @@ a piece's checksum is taken where it is tokenised.
 Tokenising works on units that byte-level BPE treats independently: a single
 space between two non-space characters always begins a new pre-token, so the
 text between such spaces is encoded once and kept in a bounded table of its
-worker.
+worker.  The added tokens of the vocabulary's JSON file, ``<|endoftext|>``, are
+one id each wherever they stand in a text, as ``tokenizers`` encodes them.
 
 Defined results: a null or empty text is its end token alone; a null doc_id is
 carried along; repeated rows are packed one by one; an empty table gives an
@@ -58,6 +59,7 @@ class Encoder(dict):
 
     def __init__(self, path: str):
         import base64
+        import json
 
         import public_tokenizers
         import tiktoken
@@ -65,6 +67,12 @@ class Encoder(dict):
         with open(path, "rb") as file:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         self.bpe = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        with open(path.removesuffix(".tiktoken") + ".json", encoding="utf-8") as file:
+            added = json.load(file)["added_tokens"]
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
+            raise ValueError("added tokens that look at their surroundings are not supported")
+        self.added = {t["content"]: array("I", [t["id"]]).tobytes() for t in added}
+        self.parts = re.compile(f"({'|'.join(map(re.escape, sorted(self.added, key=len, reverse=True)))})")
 
     def plain(self, text: str) -> bytes:
         return array("I", self.bpe.encode_ordinary(text)).tobytes()
@@ -79,6 +87,8 @@ class Encoder(dict):
 
     def encode(self, text: str) -> bytes:
         """Ids of a text, unsigned 32-bit in machine order."""
+        if any(t in text for t in self.added):  # an added token is its id, and the texts around it are texts of their own
+            return b"".join([self.added.get(part) or self.encode(part) for part in self.parts.split(text) if part])
         units = _CUT.split(text) if _OTHER_SPACE.search(text) else text.split(" ")
         return self.plain(units[0]) + b"".join([self[u] for u in units[1:]])
 

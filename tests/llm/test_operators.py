@@ -150,6 +150,24 @@ def test_packing(docs):
             assert r["ids_crc32"] == zlib.crc32(np.array(ids[r["start"] : r["start"] + r["length"]], "<u4").tobytes())
 
 
+def test_packing_encodes_added_tokens(spark):
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    mark, rng = "<|endoftext|>", random.Random(3)
+    texts = [f"the tag {mark} ends a document", mark, mark * 3, f" {mark} ", f"a  {mark}\n\n{mark}b c", f"x{mark[:-1]} {mark}", f"{mark} ".join(["one two", "three  ", " four"] * 400)]
+    texts += ["".join(rng.choice([mark, " ", "  ", "\n", "word", "It's", "\u3000", "é", "<|", "|>", "endoftext", "12"]) for _ in range(rng.randrange(30))) for _ in range(500)]
+    rows = best_fit_packing.cut_pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)).collect()
+    own = {}
+    for r in rows:
+        own.setdefault(r["doc_id"], []).append(r)
+    for d, text in enumerate(texts):
+        ids = tokenizer.encode(text, add_special_tokens=False).ids + [2]
+        assert sum(r["length"] for r in own[d]) == len(ids), text
+        assert all(r["ids_crc32"] == zlib.crc32(np.array(ids[r["start"] : r["start"] + r["length"]], "<u4").tobytes()) for r in own[d]), text
+
+
 def test_warc_round_trip(spark):
     bad = "x WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nabcde\r\n\r\nWARC/1.1\r\n tail"
     rows = [(1, "u", "hello"), (2, None, "hello"), (None, "v", "hello"), (5, "a\nb", bad), (6, "c", None), (8, "c", ""), (9, "z", "é" * 10)] + [(100 + i, "k", f"p{i}") for i in range(20)]
