@@ -8,9 +8,11 @@ the source) until at most two documents of a group are fractional, and a
 landing phase settles those few.
 
 Flights run over chunks of ``chunk`` documents each (a hash of the document
-decides, so a hot source is only more chunks); what a chunk leaves fractional,
-two documents at most, flies again with the leftovers of up to ``chunk // 2``
-other chunks, until one group a source is left to land.
+decides, so a hot source is only more chunks), longest documents first; what a
+chunk leaves fractional, two documents at most, flies again with the leftovers
+of up to ``chunk // 2`` other chunks.  One chunk of each source, the only one of
+a small source, waits for these leftovers and flies and lands with them, so a
+landing has about ``chunk`` documents to make up for a long one.
 
 Defined results: a null text has size 0; a null source is a source of its own,
 sorted last; a null doc_id is carried along; repeated rows are sampled one by
@@ -23,6 +25,7 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,8 +34,6 @@ from pyspark.sql import types as T
 from .common import materialize, table, word_count
 
 _EPS = 1e-9
-#: Units that one landing may flip, at most.
-_SWAPS = 8
 
 
 def water_fill(sizes: list[float], weights: list[float], budget: float, cap: float) -> list[float]:
@@ -114,15 +115,35 @@ def landing(sizes: list[float], pi: list[float]) -> list[float]:
     out = list(pi)
     for k, i in enumerate(loose):
         out[i] = float(best >> k & 1)
-    off = sum(out[i] * sizes[i] for i in loose) - tokens
-    for _ in range(_SWAPS):  # a landing may also flip single units of its group while that nears the target
-        flip = min(range(len(out)), key=lambda i: (abs(off + (1 - 2 * out[i]) * sizes[i]), i))
-        change = (1 - 2 * out[flip]) * sizes[flip]
-        if abs(off + change) >= abs(off):
-            break
-        out[flip] = 1 - out[flip]
-        off += change
-    return out
+    return near(sizes, out, sum(out[i] * sizes[i] for i in loose) - tokens)
+
+
+def near(sizes: list[float], out: list[float], off: float) -> list[float]:
+    """Bring a landed group that is ``off`` tokens over its target nearer to it:
+    by the best flip of a single unit while one helps, else by the best exchange
+    of a taken unit for another one, until neither helps."""
+    size, taken = np.array(sizes, float), np.array(out) > 0.5
+    while True:
+        after = np.abs(off + np.where(taken, -size, size))
+        k = int(after.argmin()) if len(after) else 0
+        if len(after) and after[k] < abs(off) - _EPS:
+            change = [k]
+        else:
+            ins, outs = np.flatnonzero(taken), np.flatnonzero(~taken)
+            if not len(ins) or not len(outs):
+                break
+            outs = outs[np.argsort(size[outs], kind="stable")]
+            want = size[ins] - off
+            at = np.searchsorted(size[outs], want)
+            pairs = [(ins, outs[np.clip(at + d, 0, len(outs) - 1)]) for d in (-1, 0)]
+            best = min(((float(x[j]), int(i[j]), int(o[j])) for i, o in pairs for x in [np.abs(off - size[i] + size[o])] for j in [int(x.argmin())]))
+            if best[0] >= abs(off) - _EPS:
+                break
+            change = [best[1], best[2]]
+        for i in change:
+            off += -size[i] if taken[i] else size[i]
+            taken[i] = not taken[i]
+    return taken.astype(float).tolist()
 
 
 _FLOWN = "source string, rank int, chunk long, doc_id long, size long, pi double"
@@ -130,7 +151,7 @@ _FLOWN = "source string, rank int, chunk long, doc_id long, size long, pi double
 
 def _fly(seed: int, land: bool):
     def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("doc_id", "ascending"), ("size", "ascending"), ("pi", "ascending")])
+        group = group.sort_by([("size", "descending"), ("doc_id", "ascending"), ("pi", "ascending")])
         sizes = [float(x) for x in group["size"].to_pylist()]
         rng = random.Random(f"{seed}/{group['rank'][0]}/{group['chunk'][0]}")
         pi = flight(sizes, group["pi"].to_pylist(), rng)
@@ -180,17 +201,18 @@ def mix_sources(
         "d.source", "rank", F.expr("pmod(xxhash64(doc_id, size), chunks)").alias("chunk"), "doc_id", "size", F.col("part").alias("pi")
     )
     done = sure_only
-    most = max((p[6] for p in plan), default=1)
-    while True:
-        last = most <= 1
-        flown = materialize(start.groupBy("rank", "chunk").applyInArrow(_fly(seed, last), _FLOWN), "mix-flight")
-        settled = flown if last else flown.where("pi in (0.0, 1.0)")
-        done = done.unionByName(settled)
-        if last:
+    held, flying = start.where("chunk = 0"), start.where("chunk > 0")
+    groups = max((p[6] for p in plan), default=1) - 1
+    per = max(2, chunk // 2)
+    while groups > 0:
+        flown = materialize(flying.groupBy("rank", "chunk").applyInArrow(_fly(seed, False), _FLOWN), "mix-flight")
+        done = done.unionByName(flown.where("pi in (0.0, 1.0)"))
+        flying = flown.where("pi not in (0.0, 1.0)").withColumn("chunk", F.expr(f"(chunk - 1) div {per} + 1"))
+        if groups <= per:
+            held = held.unionByName(flying.withColumn("chunk", F.lit(0).cast("long")))
             break
-        per = max(2, chunk // 2)
-        most = -(-most // per)
-        start = flown.where("pi not in (0.0, 1.0)").withColumn("chunk", F.expr(f"chunk div {per}"))
+        groups = -(-groups // per)
+    done = done.unionByName(materialize(held.groupBy("rank", "chunk").applyInArrow(_fly(seed, True), _FLOWN), "mix-flight"))
     copies = (F.col("sure") + F.col("pi").cast("int")).cast("int")
     return (
         done.select("rank", "doc_id", "size", "pi")

@@ -219,6 +219,25 @@ def test_mixing(docs):
     assert source_mixing.mix_sources(docs.limit(0)).count() == 0
 
 
+def test_mixing_makes_up_for_long_documents(spark):
+    rng = random.Random(6)
+
+    def texts(n, longest):  # sources of short documents and a long one
+        return ["w " * rng.randrange(50, 180) for _ in range(n)] + ["w " * longest]
+
+    rows = [(0, "a", t) for t in texts(700, 6000)] + [(0, "b", t) for t in texts(200, 20000)] + [(0, "c", t) for t in texts(3000, 4000)]
+    table = spark.createDataFrame([(i, s, t) for i, (_, s, t) in enumerate(rows)], "doc_id long, source string, text string")
+    for seed in range(3):
+        got = source_mixing.mix_sources(table, weights=(80, 40, 350), share=0.45, chunk=500, seed=seed).collect()
+        assert len(got) == len(rows) and len({r["doc_id"] for r in got}) == len(rows)
+        for source in "abc":
+            own = [r for r in got if r["source"] == source]
+            assert 0 < own[0]["target"] < own[0]["source_size"]
+            assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 1, (seed, source)
+    out = source_mixing.landing([20000.0, *[100.0] * 100], [0.4, *[1.0, 0.0] * 50])  # more flips than a few, and no fewer than needed
+    assert abs(out[0] * 20000 + sum(out[1:]) * 100 - 13000) <= 3000
+
+
 @pytest.fixture(scope="module")
 def vectors(spark):
     rng = np.random.default_rng(5)
