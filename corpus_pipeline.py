@@ -11,8 +11,9 @@ again; all but the last return the columns of ``documents``:
              twice has two rows
 5. pack      documents become pieces in sequences of 1024 tokens
 
-Defined results: documents with a null doc_id pass the second stage as they
-are; an empty table passes through every stage.
+Defined results: the second and fourth stage decide by row, so rows that repeat
+a doc_id or have none count by their own texts; texts without words are near
+duplicates of nothing; an empty table passes through every stage.
 """
 
 from __future__ import annotations
@@ -36,14 +37,28 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 
 
+def rows_of(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """``docs`` with a number ``__row`` that tells rows apart, and whether that is
+    doc_id.  Where doc_id repeats or is null, rows are numbered and written, so
+    that all later reads see the same numbers."""
+    each = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    most = each.agg(F.max(F.when(F.col("doc_id").isNull(), F.lit(2)).otherwise(F.col("n")))).first()[0]
+    if (most or 0) <= 1:
+        return docs.withColumn("__row", F.col("doc_id").cast("long")), True
+    return materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "pipeline-rows"), False
+
+
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest doc_id of each class of near duplicates, once."""
-    classes = minhash_dedup.near_duplicates(docs)
-    kept = materialize(classes.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("kept_id")).count(), "pipeline-kept")
-    out = docs.join(kept, docs.doc_id == kept.kept_id, "left_semi")
-    if kept.where("count > 1").take(1):
-        out = out.dropDuplicates(["doc_id"])
-    return out.unionByName(docs.where("doc_id is null"))
+    """Keep one row of each class of near duplicates, the one of the smallest doc_id (null last)."""
+    rows, own = rows_of(docs)
+    classes = minhash_dedup.near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"))
+    if own:
+        kept = classes.where("kept").select(F.col("doc_id").alias("__row"))
+    else:
+        order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("__row"))
+        named = classes.select(F.col("doc_id").alias("__row"), "component_id").join(rows.select("__row", "doc_id"), "__row")
+        kept = named.groupBy("component_id").agg(F.min_by("__row", order).alias("__row")).select("__row")
+    return rows.join(materialize(kept, "pipeline-kept"), "__row", "left_semi").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +68,9 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take documents as often as the mix of their source says."""
-    taken = source_mixing.mix_sources(docs).where("copies > 0").groupBy(F.col("doc_id").alias("taken_id")).agg(F.max("copies").alias("copies"))
-    out = docs.join(taken, docs.doc_id.eqNullSafe(taken.taken_id))
+    rows, _ = rows_of(docs)
+    mixed = source_mixing.mix_sources(rows.select(F.col("__row").alias("doc_id"), "text", "source"))
+    out = rows.join(mixed.where("copies > 0").select(F.col("doc_id").alias("__row"), "copies"), "__row")
     return out.withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
 
 
