@@ -30,6 +30,22 @@ def kept_rows(rows):
     return [min(members, key=lambda i: (rows[i][0] is None, rows[i][0] or 0)) for members in classes.values()]
 
 
+def test_language_drops_noise_and_keeps_languages(spark):
+    rng = random.Random(1)
+
+    def text(letters, n):
+        return " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(n))
+
+    kinds = {"xx": "abcdef", "yy": "mnopqr"}
+    known = [(i, text(kinds[k], 40), k, "s", 0) for i in range(200) for k in [("xx", "yy")[i % 2]]]
+    short = [(1000 + i, text(kinds[k], 1), None, "s", 0) for i in range(100) for k in [("xx", "yy")[i % 2]]]
+    noise = [(2000 + i, text("ghijkl", rng.choice([2, 10, 60])), None, "s", 0) for i in range(300)]
+    kept = {r["doc_id"] for r in corpus_pipeline.language(spark, spark.createDataFrame(known + short + noise, DOCS), "").collect()}
+    assert kept == {r[0] for r in known + short}
+    assert corpus_pipeline.language(spark, spark.createDataFrame(noise, DOCS), "").count() == len(noise)
+    assert corpus_pipeline.language(spark, spark.createDataFrame([], DOCS), "").count() == 0
+
+
 @pytest.mark.parametrize("unique", [True, False])
 def test_dedup_decides_by_row(spark, unique):
     rng = random.Random(8)
