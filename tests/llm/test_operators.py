@@ -207,6 +207,20 @@ def test_secrets_under_any_sensitive_name():
     assert got == [whole(t) for t in texts] and sum(map(bool, got)) > 20
 
 
+def test_base_spans_against_plain_patterns():
+    rng = random.Random(12)
+    parts = ["password", "Passwd", "SECRET", "token", "api_key", "apikey", "=", ":", " ", '"', "'", "\n", "abc123", "x.y/z+", "AKIA", "Z9" * 8, "0af9" * 6, "deadbeef", "é", "K", "w "]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(25))) for _ in range(4000)]
+    assign = r"""(?i:(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)(?P<value>[A-Za-z0-9+/_.=-]+)"""
+    plain = {"assign": (assign, 6, "value"), "access": (r"AKIA[A-Z0-9]+", 20, 0), "hex": (r"[0-9a-f]+", 24, 0)}
+    seen = set()
+    for text, spans in zip(texts, secret_scan.spans_of(pa.array(texts))):
+        expected = {(*m.span(), kind) for kind, (p, least, part) in plain.items() for m in re.finditer(p, text, re.ASCII) if len(m[part]) >= least}
+        assert {x for x in spans if x[2] != "lexed"} == expected, text
+        seen |= {k for *_, k in expected}
+    assert seen == set(plain)
+
+
 def test_mixing(docs):
     one, two = ({(r["doc_id"], r["taken"]) for r in source_mixing.mix_sources(docs).collect()} for _ in "12")
     assert one == two

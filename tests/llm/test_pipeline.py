@@ -76,3 +76,13 @@ def test_mix_decides_by_row(spark):
         assert abs(sum(got[t] * len(t.split()) for t in own) - target) <= 60
         assert max(got[t] for t in own) - min(got[t] for t in own) <= 1
     assert corpus_pipeline.mix(spark, spark.createDataFrame([], DOCS), "").count() == 0
+
+
+def test_secrets_and_pack(spark):
+    rows = [(1, "a token=abcdefgh12 b", "en", "s", 20), (1, "plain", "en", None, 5), (None, None, None, None, None), (None, "", "en", "s", 0)]
+    masked = corpus_pipeline.secrets(spark, spark.createDataFrame(rows, DOCS), "")
+    assert Counter(map(tuple, masked.collect())) == Counter([(1, "a [secret] b", "en", "s", 12), *rows[1:]])
+    pieces = corpus_pipeline.pack(spark, masked, "").collect()
+    assert Counter(r["doc_id"] for r in pieces) == {1: 2, None: 2}
+    empty = spark.createDataFrame([], DOCS)
+    assert corpus_pipeline.secrets(spark, empty, "").count() == corpus_pipeline.pack(spark, empty, "").count() == 0
