@@ -17,8 +17,11 @@ smaller doc_id.
    keeps its place in the document with the smallest id and is removed, by its
    source coordinates, from all others.
 
-The screen and the branch test only propose: their 64-bit and 32-bit hashes
-can add or cut paths, the digest of the words decides.
+The screen and the branch test only propose: their 64-bit hashes can add or
+cut paths, a keyed BLAKE2 digest of the path's words decides.
+
+Spans are found by row, not by doc_id: each row with candidates gets a number
+of its own (task and place in it), kept with its text.
 
 A frequent edge costs a task one entry whatever its number of documents: tasks
 collapse equal hashes before the exchange, and what they settle by themselves
@@ -26,14 +29,13 @@ is spread over other buckets.
 
 Defined results: null text has no words; documents of fewer than ``window``
 words lose nothing; rows with a null doc_id take no part and lose nothing;
-rows that repeat a doc_id don't count against each other; an empty table gives
-an empty result; columns other than doc_id and text are not looked at.
+rows that repeat a doc_id don't count against each other, and each loses what a
+smaller doc_id has; an empty table gives an empty result; columns other than doc_id and text are not looked at.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,7 +46,7 @@ from pyspark.sql import functions as F
 
 from .blobs import blob, buckets_of, heads, joined, slices
 from .common import bucket_count, materialize, table
-from .words import _INVERSE, _BASE, _power, buffers, gram_rows, grams, mix, pieces, split
+from .words import buffers, gram_rows, grams, mix, pieces, split
 
 _U = np.uint64
 #: Entries that a task gathers before it sends them.
@@ -128,24 +130,26 @@ def _answer_minimizers(group: pa.Table) -> pa.Table:
     return pa.table({"d": pa.array(d[at]), "hashes": slices(h, np.r_[at, len(h)])})
 
 
-_KEPT = "doc_id long, n_words long, kept_sha256 string, text string, block long, docs binary, starts binary, sizes binary, words binary"
+_KEPT = "doc_id long, n_words long, kept_sha256 string, text string, row long, block long, docs binary, rows binary, starts binary, sizes binary, words binary"
 
 
 def _keep_edges(window: int, seed: int):
     """Documents without candidates are done; those with some keep their text,
     and their runs of candidate edges go into blocks."""
 
-    def block(parts: list[tuple]) -> pa.RecordBatch:
-        docs, starts, sizes, words = (np.concatenate(x) for x in zip(*parts))
+    def block(parts: list[tuple], number: int) -> pa.RecordBatch:
         none = pa.array([None])
         return pa.RecordBatch.from_arrays(
-            [none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.string()), none.cast(pa.string()), pa.array([uuid.uuid4().int >> 65], pa.int64())]
-            + [pa.array([blob(x)], pa.binary()) for x in (docs, starts, sizes, words)],
+            [none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.string()), none.cast(pa.string()), none.cast(pa.int64()), pa.array([number], pa.int64())]
+            + [pa.array([blob(np.concatenate(x))], pa.binary()) for x in zip(*parts)],
             names=_NAMES,
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         parts, n = [], 0
+        next_row = next_block = TaskContext.get().partitionId() << 40
         for batch in batches:
             ids = batch.column(0)
             for a, b in pieces(batch.column(1)):
@@ -156,6 +160,7 @@ def _keep_edges(window: int, seed: int):
                 asked = batch.column(2).slice(a, b - a)
                 known = [x for one in asked.to_pylist() if one for x in one]
                 found = np.zeros(b - a, bool)
+                number = np.zeros(b - a, "<i8")
                 if known:
                     repeated = np.unique(np.frombuffer(b"".join(known), "<u8"))
                     at, rows = gram_rows(words.first, window)
@@ -164,7 +169,9 @@ def _keep_edges(window: int, seed: int):
                     hit = (repeated[place] == m) & np.asarray(part.is_valid())[rows]
                     at, rows = at[hit], rows[hit]
                     if len(at):
-                        found[np.unique(rows)] = True
+                        found[rows] = True
+                        number = next_row + np.cumsum(found) - 1
+                        next_row += int(found.sum())
                         new = np.r_[True, (at[1:] != at[:-1] + 1) | (rows[1:] != rows[:-1])]
                         head = np.flatnonzero(new)
                         edges = np.diff(np.r_[head, len(at)])
@@ -172,41 +179,42 @@ def _keep_edges(window: int, seed: int):
                         begin = at[head]
                         pick = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
                         doc = part.fill_null(0).to_numpy(zero_copy_only=False)[rows[head]]
-                        parts.append((doc.astype("<i8"), (begin - words.first[rows[head]]).astype("<i4"), size.astype("<i4"), words.hashes[pick]))
+                        parts.append((doc.astype("<i8"), number[rows[head]].astype("<i8"), (begin - words.first[rows[head]]).astype("<i4"), size.astype("<i4"), words.hashes[pick]))
                         n += len(pick)
                 raw = words.data.tobytes()
                 digest = [None if f else hashlib.sha256(b" ".join(raw[s:e].split())).hexdigest() for f, s, e in zip(found.tolist(), words.text_first[:-1].tolist(), words.text_first[1:].tolist())]
                 kept = text.take(pa.array(np.arange(b - a), mask=~found))
                 null = pa.nulls(b - a, pa.binary())
-                yield pa.RecordBatch.from_arrays([part, pa.array(counts), pa.array(digest, pa.string()), kept, pa.nulls(b - a, pa.int64()), null, null, null, null], names=_NAMES)
+                whole = [part, pa.array(counts), pa.array(digest, pa.string()), kept, pa.array(number, mask=~found), pa.nulls(b - a, pa.int64())]
+                yield pa.RecordBatch.from_arrays(whole + [null] * 5, names=_NAMES)
                 if n >= _BLOCK:
-                    yield block(parts)
-                    parts, n = [], 0
+                    yield block(parts, next_block)
+                    parts, n, next_block = [], 0, next_block + 1
         if n:
-            yield block(parts)
+            yield block(parts, next_block)
 
     return run
 
 
 _NAMES = [x.split()[0] for x in _KEPT.split(", ")]
-_BRANCH = np.uint32(2)
+_BRANCH = _U(2)
 
 
 class _Block:
     """The candidate edges of a block: their hashes and neighbouring words."""
 
     def __init__(self, row: dict, window: int):
-        self.docs, self.starts = np.frombuffer(row["docs"], "<i8"), np.frombuffer(row["starts"], "<i4")
+        self.docs, self.rows, self.starts = np.frombuffer(row["docs"], "<i8"), np.frombuffer(row["rows"], "<i8"), np.frombuffer(row["starts"], "<i4")
         self.sizes, self.words = np.frombuffer(row["sizes"], "<i4").astype(np.int64), np.frombuffer(row["words"], "<u8")
         first = np.r_[0, np.cumsum(self.sizes)]
         self.first = first
         self.at, self.run = gram_rows(first, window)
         self.hashes = grams(self.words, window)[self.at]
-        tag = ((self.words >> _U(32)) | _U(1)).astype(np.uint32)
+        tag = np.maximum(self.words, _U(3))
         last = self.at + window == first[self.run + 1]
         begin = self.at == first[self.run]
-        self.next = np.where(last, np.uint32(0), tag[np.minimum(self.at + window, len(tag) - 1)])
-        self.prev = np.where(begin, np.uint32(0), tag[np.maximum(self.at - 1, 0)])
+        self.next = np.where(last, _U(0), tag[np.minimum(self.at + window, len(tag) - 1)])
+        self.prev = np.where(begin, _U(0), tag[np.maximum(self.at - 1, 0)])
         self.order = np.argsort(self.hashes, kind="stable")
         self.heads = heads(self.hashes[self.order])
 
@@ -246,7 +254,7 @@ def _answer_edges(group: pa.Table) -> pa.Table:
     blocks = group["block"].to_pylist()
     sizes = [len(x) // 8 for x in group["hashes"].to_pylist()]
     h, several = joined(group["hashes"], "<u8"), joined(group["several"], "?")
-    after, before = joined(group["after"], "<u4"), joined(group["before"], "<u4")
+    after, before = joined(group["after"], "<u8"), joined(group["before"], "<u8")
     order = np.argsort(h, kind="stable")
     at = heads(h[order])
     size = np.diff(np.r_[at, len(h)])
@@ -257,8 +265,7 @@ def _answer_edges(group: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array(blocks, pa.int64()), "bucket": group["bucket"].combine_chunks(), "flags": slices(flags, np.r_[0, np.cumsum(sizes)])})
 
 
-_PATH = "d1 long, d2 long, size int, doc_id long, start int"
-_SECOND = 0xA24BAED4963EE407 | 1
+_PATH = "digest binary, size int, doc_id long, row long, start int"
 
 
 def _paths(window: int, buckets: int):
@@ -284,21 +291,17 @@ def _paths(window: int, buckets: int):
             head = np.flatnonzero(new)
             size = np.diff(np.r_[head, len(at)]) + window - 1
             begin = at[head]
-            d = [_digest(block.words, begin, size, 0, _BASE, _INVERSE), _digest(block.words, begin, size, 0x632BE59BD9B4E019, _SECOND, pow(_SECOND, -1, 2**64))]
-            out.append((d[0].view(np.int64), d[1].view(np.int64), size.astype(np.int32), block.docs[rn[head]], (block.starts[rn[head]] + (begin - block.first[rn[head]])).astype(np.int32)))
-        columns = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, t) for t in ("i8", "i8", "i4", "i8", "i4")]
-        return pa.table({n.split()[0]: pa.array(c) for n, c in zip(_PATH.split(", "), columns)})
+            words = block.words.astype("<u8").view(np.uint8)
+            digest = [hashlib.blake2b(words[8 * i : 8 * j], digest_size=16).digest() for i, j in zip(begin.tolist(), (begin + size).tolist())]
+            where = rn[head]
+            out.append((digest, size.astype(np.int32), block.docs[where], block.rows[where], (block.starts[where] + (begin - block.first[where])).astype(np.int32)))
+        digests = pa.array([d for x in out for d in x[0]], pa.binary())
+        columns = [np.concatenate(x) for x in list(zip(*out))[1:]] if out else [np.zeros(0, t) for t in ("i4", "i8", "i8", "i4")]
+        return pa.table({n.split()[0]: c for n, c in zip(_PATH.split(", "), [digests, *map(pa.array, columns)])})
 
     return run
 
 
-def _digest(words: np.ndarray, begin: np.ndarray, size: np.ndarray, salt: int, base: int, inverse: int) -> np.ndarray:
-    """64 bits of each span of words, from prefix sums of a polynomial."""
-    total = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(mix(words ^ _U(salt)) * _power(base, len(words)), out=total[1:])
-    return mix((total[begin + size] - total[begin]) * _power(inverse, len(words))[begin])
-
-
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
@@ -328,16 +331,16 @@ def remove_repeats(docs: DataFrame, window: int = 13, seed: int = 6) -> tuple[Da
     answers = answers.groupBy("d").agg(F.collect_list("hashes").alias("hashes"))
     joined_docs = docs.join(answers, docs.doc_id == answers.d, "left").select("doc_id", "text", "hashes")
     kept = materialize(joined_docs.mapInArrow(_keep_edges(window, seed), _KEPT), "dedup-edges")
-    blocks = kept.where("block is not null").select("block", "docs", "starts", "sizes", "words")
+    blocks = kept.where("block is not null").select("block", "docs", "rows", "starts", "sizes", "words")
     sent = blocks.mapInArrow(_send_edges(window, buckets), "bucket int, block long, hashes binary, after binary, before binary, several binary")
     flags = sent.groupBy("bucket").applyInArrow(_answer_edges, "block long, bucket int, flags binary")
     paths = materialize(blocks.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(_paths(window, buckets), _PATH), "dedup-paths")
     # written first: a join right on top of the aggregate couldn't split a frequent path
-    owners = materialize(paths.groupBy("d1", "d2", "size").agg(F.min("doc_id").alias("owner")), "dedup-owners")
-    spans = paths.join(owners, ["d1", "d2", "size"]).where("doc_id > owner")
-    spans = spans.groupBy(F.col("doc_id").alias("d")).agg(F.collect_list(F.struct("start", "size")).alias("spans"))
-    texts = kept.where("text is not null").select("doc_id", "n_words", "text")
-    cut = texts.join(spans, texts.doc_id == spans.d, "left").select("doc_id", "n_words", "text", "spans")
+    owners = materialize(paths.groupBy("digest", "size").agg(F.min("doc_id").alias("owner")), "dedup-owners")
+    spans = paths.join(owners, ["digest", "size"]).where("doc_id > owner")
+    spans = spans.groupBy("row").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
+    texts = kept.where("text is not null").select("row", "doc_id", "n_words", "text")
+    cut = texts.join(spans, "row", "left").select("doc_id", "n_words", "text", "spans")
     whole = kept.where("block is null and text is null").select("doc_id", "n_words", "kept_sha256")
     return whole, cut.mapInArrow(_remove, "doc_id long, n_words long, n_removed long, kept string")
 
@@ -351,18 +354,18 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP10_SQL = r"""
 with w as (
-  select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents
+  select row_number() over () as row, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents
 ), g as (
-  select doc_id, unnest(range(1, len(ws) - 11)) as i, ws from w where len(ws) >= 13
+  select row, doc_id, unnest(range(1, len(ws) - 11)) as i, ws from w where len(ws) >= 13
 ), k as (
-  select doc_id, i, md5(array_to_string(list_slice(ws, i, i + 12), ' ')) as h from g
+  select row, doc_id, i, md5(array_to_string(list_slice(ws, i, i + 12), ' ')) as h from g
 ), m as (
   select h, min(doc_id) as first_doc from k group by h
 ), r as (
-  select distinct k.doc_id, unnest(range(k.i, k.i + 13)) as p from k join m using (h) where m.first_doc < k.doc_id
-), rr as (select doc_id, list(p) as ps from r group by doc_id)
+  select distinct k.row, unnest(range(k.i, k.i + 13)) as p from k join m using (h) where m.first_doc < k.doc_id
+), rr as (select row, list(p) as ps from r group by row)
 select w.doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(len(ps), 0) as bigint) as n_removed,
   sha256(case when ps is null then array_to_string(ws, ' ')
     else array_to_string(list_transform(list_filter(range(1, len(ws) + 1), lambda i: not list_contains(ps, i)), lambda i: ws[i]), ' ') end) as kept_sha256
-from w left join rr using (doc_id)
+from w left join rr using (row)
 """

@@ -1,25 +1,27 @@
 """Vectorised word hashing over whole Arrow batches.
 
-Texts stay UTF-8 bytes in one buffer; word bounds and 64-bit word hashes come
-from a fixed number of numpy passes over that buffer, without a Python step
-for each word.  A word's hash is a polynomial over a random table of byte
-values modulo 2**64, read off prefix sums, and then mixed.
+Texts stay UTF-8 bytes in one buffer; word bounds come from a fixed number of
+numpy passes over that buffer.  A word's 64-bit hash chains its 8-byte groups
+through a mixing function, one pass for each group over the words that are that
+long; words beyond 128 bytes take a keyed BLAKE2 digest instead.  (A polynomial
+modulo 2**64 would be simpler, but words with the Thue-Morse pattern collide
+under it whatever its base.)
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
 _U = np.uint64
-_rng = np.random.Generator(np.random.PCG64(20240611))
-_TABLE = _rng.integers(1, 2**64, size=256, dtype=np.uint64) | _U(1)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 2**64)
-_powers: dict[int, np.ndarray] = {}
+#: Bytes of the longest word that is hashed by groups.
+_LONG = 128
+_KEY = b"stratavault words"
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], dtype=np.uint64)
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -39,16 +41,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept and doubled as needed."""
-    got = _powers.get(base)
-    if got is None or len(got) < n:
-        size = 1 << max(12, (n - 1).bit_length())
-        got = np.ones(1, dtype=np.uint64)
-        while len(got) < size:
-            got = np.concatenate([got, got * _U(pow(base, len(got), 2**64))])
-        _powers[base] = got
-    return got[:n]
+def _hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each word ``data[start:end]``."""
+    size = ends - starts
+    out = mix(size.astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+    if not len(starts):
+        return out
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    wide = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the 8 bytes from each place on
+    rows = np.flatnonzero(size <= _LONG)
+    at, left = starts[rows], size[rows]
+    while len(rows):
+        out[rows] = mix((out[rows] ^ (wide[at] & _KEEP[np.minimum(left, 8)])) + _U(0x9E3779B97F4A7C15))
+        more = left > 8
+        rows, at, left = rows[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > _LONG).tolist():
+        out[i] = int.from_bytes(blake2b(data[starts[i] : ends[i]], digest_size=8, key=_KEY).digest(), "little")
+    return out
 
 
 @dataclass
@@ -99,13 +108,7 @@ def split(data: np.ndarray, places: np.ndarray, lower: bool = False) -> Words:
         end[:-1] &= _ends(inside, places)
     ends = np.flatnonzero(end) + 1
     first = np.searchsorted(starts, places).astype(np.int64)
-    if len(starts):
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_TABLE[data] * _power(_BASE, n), out=total[1:])
-        hashes = (total[ends] - total[starts]) * _power(_INVERSE, n)[starts]
-        hashes = mix(hashes ^ ((ends - starts).astype(np.uint64) * _U(0xD6E8FEB86659FD93)))
-    else:
-        hashes = np.zeros(0, np.uint64)
+    hashes = _hash(data, starts, ends)
     return Words(data, places, first, starts, ends, hashes)
 
 
