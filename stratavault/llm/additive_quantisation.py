@@ -3,21 +3,27 @@
 A vector is the sum of one codeword from each of ``books`` full-dimensional
 codebooks.  Codebooks start as residual k-means and are refitted by least
 squares on a bounded sample; every vector of the table is encoded by beam
-search and stores its codes and the norm of its reconstruction.  A query scores
-all codes of a block through its lookup table of query-codeword products, the
+search.  A sum of codewords is shorter than its vector, so the index stores,
+besides the codes, the ratio of both norms; a query scores all codes of a block
+through its lookup table of query-codeword products, times that ratio.  The
 best ``rerank`` of each block are scored again on the original vectors in
 double precision, and the blocks' best merge.
 
 The sample's bound is the parameter ``train``; every row is indexed and every
-query meets every block.  Queries and data move in blocks of bounded size.
-
-Defined results: see ``vectors.usable`` for rows that take no part; fewer than
-k candidates give all of them; ties go to the smaller vec_id; an empty table
-gives an empty result; other columns are not looked at.
+query meets every block.  Data blocks hold codes and vectors together and move
+once; what travels to them are the queries, in blocks of bounded size.
+
+Defined results: see ``vectors.usable`` for rows that take no part; rows that
+repeat a vec_id are candidates each, and queries each; vectors meet only those
+of their own length; fewer than k candidates give all of them; ties go to the
+smaller vec_id; an empty table gives an empty result; other columns are not
+looked at.
 """
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .blobs import blob
 from .common import materialize, table
-from .vectors import best_of_blocks, by_row, matrix, pair_blocks, sample, usable
+from .vectors import best_of_blocks, by_length, by_row, every_pair, matrix, meet, sample, usable
 
 
 class Quantiser:
@@ -33,9 +39,16 @@ class Quantiser:
 
     def __init__(self, books: np.ndarray):
         self.books = books
-        m, k, d = books.shape
-        flat = books.reshape(m * k, d)
-        self.gram = (flat @ flat.T).reshape(m, k, m, k)
+
+    def __reduce__(self):
+        return Quantiser, (self.books,)  # products of codewords are made where they are needed
+
+    @cached_property
+    def gram(self) -> np.ndarray:
+        """Products of all pairs of codewords."""
+        m, k, d = self.books.shape
+        flat = self.books.reshape(m * k, d)
+        return (flat @ flat.T).reshape(m, k, m, k)
 
     @classmethod
     def train(cls, x: np.ndarray, books: int, words: int, rounds: int = 2, seed: int = 17) -> Quantiser:
@@ -109,55 +122,69 @@ def _k_means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -
     return centres
 
 
-_DATA = "db int, ids binary, codes binary, norms binary, vectors binary"
+_FOUND = "q_uid long, query_id long, uid long, vec_id long, score double"
 
 
 def search(
-    embeddings: DataFrame, queries: F.Column, k: int = 20, books: int = 16, words: int = 64, train: int = 4096, rerank: int = 768, query_block: int = 512, data_block: int = 4096
+    embeddings: DataFrame, queries: F.Column, k: int = 20, books: int = 24, words: int = 64, train: int = 4096, rerank: int = 256, query_block: int = 2048, data_block: int = 4096
 ) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows where ``queries`` (of
     vec_id) holds, against all other rows."""
     spark = embeddings.sparkSession
-    rows = usable(embeddings, zero=False)
-    n_rows, n_asked = rows.count(), rows.where(queries).count()
-    n_data, n_queries = max(1, -(-n_rows // data_block)), max(1, -(-n_asked // query_block))
-    asked = rows.where(queries).withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(n_queries)).cast("int")).groupBy("qb")
-    asked = asked.applyInArrow(lambda t: pa.table({"qb": t["qb"].slice(0, 1), "q_ids": [blob(t["vec_id"].to_numpy())], "queries": [blob(matrix(t["v"]))]}), "qb int, q_ids binary, queries binary") if n_asked else None
-    if asked is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for rows in by_length(usable(embeddings, zero=False)):
+        found = _search(rows, queries, k, books, words, train, rerank, query_block, data_block)
+        if found is not None:
+            out = out.unionByName(found.select("query_id", "rank", "vec_id", "score"))
+    return out
+
+
+def _search(rows: DataFrame, queries: F.Column, k: int, books: int, words: int, train: int, rerank: int, query_block: int, data_block: int) -> DataFrame | None:
+    spark = rows.sparkSession
+    n_rows, n_asked = rows.agg(F.count(F.lit(1)), F.count_if(queries)).first()
+    if not n_asked:
+        return None
+    n_data, n_queries = -(-n_rows // data_block), -(-n_asked // query_block)
     quantiser = spark.sparkContext.broadcast(Quantiser.train(sample(rows, train), books, words))
 
+    def ask(t: pa.Table) -> pa.Table:
+        return pa.table({"qb": t["qb"].slice(0, 1), "q_uids": [blob(t["uid"].to_numpy())], "q_ids": [blob(t["vec_id"].to_numpy())], "queries": [blob(matrix(t["v"]))]})
+
     def encode(t: pa.Table) -> pa.Table:
         x = matrix(t["v"])
         codes = quantiser.value.encode(x)
-        return pa.table({"db": t["db"].slice(0, 1), "ids": [blob(t["vec_id"].to_numpy())], "codes": [blob(codes)], "norms": [blob(quantiser.value.norms(codes).astype(np.float32))], "vectors": [blob(x)]})
-
-    index = rows.withColumn("db", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n_data)).cast("int")).groupBy("db").applyInArrow(encode, _DATA)
-    pairs = pair_blocks(materialize(asked, "aq-queries"), materialize(index, "aq-index"), n_queries, n_data)
+        ratio = np.sqrt((x**2).sum(1)) / np.maximum(quantiser.value.norms(codes), 1e-300)
+        return pa.table({"db": t["db"].slice(0, 1), "uids": [blob(t["uid"].to_numpy())], "ids": [blob(t["vec_id"].to_numpy())], "codes": [blob(codes)], "ratios": [blob(ratio)], "vectors": [blob(x)]})
 
     def score(row: dict) -> pa.RecordBatch:
-        q_ids, ids = np.frombuffer(row["q_ids"], "<i8"), np.frombuffer(row["ids"], "<i8")
+        q_uids, q_ids = np.frombuffer(row["q_uids"], "<i8"), np.frombuffer(row["q_ids"], "<i8")
+        uids, ids = np.frombuffer(row["uids"], "<i8"), np.frombuffer(row["ids"], "<i8")
         q = np.frombuffer(row["queries"], "<f8").reshape(len(q_ids), -1)
         x = np.frombuffer(row["vectors"], "<f8").reshape(len(ids), -1)
-        codes = np.frombuffer(row["codes"], np.uint8).reshape(len(ids), -1)
-        out: list[tuple] = []
+        codes = np.frombuffer(row["codes"], np.uint8).reshape(len(ids), -1).T.astype(np.int64)
+        ratios = np.frombuffer(row["ratios"], "<f8").astype(np.float32)
+        most = min(rerank, len(ids))
+        parts: list[tuple] = []
         for at in range(0, len(q), 64):
             part = q[at : at + 64]
-            tables = quantiser.value.lookup(part)
             near = np.zeros((len(part), len(ids)), np.float32)
-            for j in range(codes.shape[1]):
-                near += tables[j][:, codes[:, j]]
-            most = min(rerank, len(ids))
-            best = np.argpartition(-near, most - 1, axis=1)[:, :most]
+            for table_, code in zip(quantiser.value.lookup(part), codes):
+                near += table_[:, code]
+            best = np.argpartition(-near * ratios, most - 1, axis=1)[:, :most]
             exact = np.einsum("qrd,qd->qr", x[best], part)
-            exact[ids[best] == q_ids[at : at + 64, None]] = -np.inf
-            order = np.lexsort((ids[best], -exact), axis=1)[:, :k]
-            out.append((np.repeat(q_ids[at : at + 64], order.shape[1]), np.take_along_axis(ids[best], order, 1).ravel(), np.take_along_axis(exact, order, 1).ravel()))
-        one, two, three = (np.concatenate(c) for c in zip(*out))
-        keep = np.isfinite(three)
-        return pa.RecordBatch.from_pydict({"query_id": one[keep], "vec_id": two[keep], "score": three[keep]})
-
-    found = pairs.mapInArrow(by_row(score), "query_id long, vec_id long, score double")
+            own = uids[best] == q_uids[at : at + 64, None]
+            order = np.lexsort((uids[best], ids[best], -exact, own), axis=1)[:, :k]
+            best, exact, keep = (np.take_along_axis(v, order, 1) for v in (best, exact, ~own))
+            of = np.repeat(np.arange(at, at + len(part)), keep.sum(1))
+            parts.append((q_uids[of], q_ids[of], uids[best[keep]], ids[best[keep]], exact[keep]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names=[x.split()[0] for x in _FOUND.split(", ")])
+
+    asked = rows.where(queries).withColumn("qb", F.pmod(F.xxhash64("uid"), F.lit(n_queries)).cast("int"))
+    asked = materialize(asked.groupBy("qb").applyInArrow(ask, "qb int, q_uids binary, q_ids binary, queries binary"), "aq-queries")
+    index = rows.withColumn("db", F.pmod(F.xxhash64("uid", F.lit(1)), F.lit(n_data)).cast("int"))
+    index = index.repartition(min(4 * n_data, 1 << 16), "db").groupBy("db")
+    index = materialize(index.applyInArrow(encode, "db int, uids binary, ids binary, codes binary, ratios binary, vectors binary"), "aq-index")
+    found = meet(every_pair(n_queries, n_data, spark), asked, index, n_data).mapInArrow(by_row(score), _FOUND)
     return best_of_blocks(found, k)
 
 

@@ -13,19 +13,22 @@ from .common import materialize
 
 
 def usable(table: DataFrame, zero: bool) -> DataFrame:
-    """(vec_id, v: array<double>) of the vectors that take part.
+    """(uid, vec_id, v) of the vectors that take part, one row a row.
 
-    Left out: null ids and vectors, null or non-finite components, zero vectors
-    unless ``zero``, and vectors whose length isn't the most frequent one (ties:
-    the shorter).  Rows that repeat a vec_id count once (the least vector)."""
-    v = F.transform(F.col("embedding"), lambda x: x.cast("double"))
-    rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null and v is not null and size(v) > 0")
+    Left out: null ids and vectors, null or non-finite components, and zero
+    vectors (empty ones too) unless ``zero``.  ``uid`` tells rows apart where
+    they repeat a vec_id."""
+    rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v")).where("vec_id is not null and v is not null")
     rows = rows.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))))
     if not zero:
         rows = rows.where(F.exists("v", lambda x: x != 0))
-    rows = materialize(rows.groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
-    length = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return rows if length is None else rows.where(F.size("v") == length["d"])
+    return materialize(rows.where("size(v) > 0").withColumn("uid", F.monotonically_increasing_id()).select("uid", "vec_id", "v"), "vectors")
+
+
+def by_length(rows: DataFrame) -> list[DataFrame]:
+    """The rows of each vector length, as only equally long vectors have a product."""
+    lengths = sorted(r[0] for r in rows.select(F.size("v").alias("d")).distinct().collect())
+    return [rows] if len(lengths) == 1 else [rows.where(F.size("v") == d) for d in lengths]
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -38,24 +41,29 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 def sample(rows: DataFrame, most: int) -> np.ndarray:
     """At most ``most`` vectors, those with the least hash of their id."""
-    picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(most).select("v")
+    picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "uid").limit(most).select("v")
     return matrix(picked.toArrow()["v"])
 
 
-def pair_blocks(queries: DataFrame, data: DataFrame, n_queries: int, n_data: int) -> DataFrame:
-    """Every query block with every data block, dealt evenly by both numbers.
+def meet(pairs: DataFrame, queries: DataFrame, data: DataFrame, n_data: int) -> DataFrame:
+    """Blocks that meet: ``pairs`` (qb, db) with the columns of both.
+
+    Query blocks travel, data blocks go to their own partition once.  The
+    partitions are numbered by hand, so that they aren't merged by their size."""
+    parts = min(4 * max(1, n_data), 1 << 16)
+    left = pairs.join(queries, "qb").repartition(parts, "db")
+    return left.join(data.repartition(parts, "db").hint("shuffle_merge"), "db")
+
 
-    ``queries`` has its block number as ``qb``, ``data`` as ``db``, both counted
-    from 0; a row is a block, so this is one row a pair of blocks."""
-    left = queries.withColumn("db", F.explode(F.sequence(F.lit(0), F.lit(max(0, n_data - 1)))))
-    right = data.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(max(0, n_queries - 1)))))
-    return left.join(right, ["qb", "db"])
+def every_pair(n_queries: int, n_data: int, spark) -> DataFrame:
+    """(qb, db) for all blocks, both counted from 0."""
+    return spark.range(n_queries).select(F.col("id").cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_data - 1))).alias("db"))
 
 
 def best_of_blocks(found: DataFrame, k: int) -> DataFrame:
-    """The k best (score, then smaller vec_id) of each query over all blocks."""
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    """The k best (score, then smaller vec_id) of each query row over all blocks."""
+    order = Window.partitionBy("q_uid").orderBy(F.desc("score"), "vec_id", "uid")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def by_row(compute: Callable[[dict], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
