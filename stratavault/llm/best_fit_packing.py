@@ -8,8 +8,10 @@ population of its own.  A crossover injects whole well-filled sequences of one
 parent into the other, drops the duplicates by dissolving the sequences they
 were in, and puts the displaced pieces back by best fit.  After each epoch
 every island sends its elite to the next one.  Sequences that the best island
-of a group leaves with room to spare are opened again and packed together with
-those of other groups, until one group is left.
+of a group leaves with room to spare are opened again, and their pieces are
+dealt anew to groups of the same size, until a level saves less than one
+sequence a group or one group is left.  A group never grows beyond about
+``group`` pieces.
 
 Only ids of pieces and their lengths move between tasks; token ids never do:
 a piece's checksum is taken where it is tokenised.
@@ -272,23 +274,24 @@ def pack(pieces: DataFrame, cap: int = 1024, group: int = 4096, islands: int = 3
     """Adds sequence_id and offset to rows that have a ``length`` up to ``cap``."""
     pieces = materialize(pieces.withColumn("__uid", F.monotonically_increasing_id()), "pack-pieces")
     items = pieces.select(F.col("__uid").alias("uid"), F.col("length").cast("long").alias("length"))
-    full = items.where(F.col("length") >= cap).select("uid", (F.col("uid") + F.lit(1 << 61)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    full = items.where(F.col("length") >= cap).select("uid", (F.lit(-1) - F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     left = items.where(F.col("length") < cap)
-    placed, level = full, 0
+    placed, level, before = full, 0, None
     groups = max(1, -(-left.count() // group))
-    left = left.withColumn("grp", F.pmod(F.xxhash64("uid"), F.lit(groups)))
     while True:
+        left = left.withColumn("grp", F.pmod(F.xxhash64("uid", F.lit(level)), F.lit(groups)))
         world = left.groupBy("grp").applyInArrow(_settle(cap, islands), _ISLAND)
         for epoch in range(epochs):
             world = materialize(world.groupBy("grp", "island").applyInArrow(_epoch(cap, generations, size, islands, seed + level, epoch), _ISLAND), "pack-islands")
         done = materialize(world.groupBy("grp").applyInArrow(_best(cap, level, slack), _PLACED), "pack-level")
-        if groups == 1:
-            return pieces.join(placed.unionByName(done.select("uid", "sequence_id", "offset")), F.col("uid") == F.col("__uid")).drop("uid", "__uid")
+        counts = done.agg(F.count_if(F.col("offset") == 0), F.count_if("open"), F.count_if(F.col("open") & (F.col("offset") == 0))).first()
+        # bins of this level against the bins its pieces were in before
+        if groups == 1 or not counts[1] or before is not None and before - counts[0] < groups:
+            placed = placed.unionByName(done.select("uid", "sequence_id", "offset"))
+            return pieces.join(placed, F.col("uid") == F.col("__uid")).drop("uid", "__uid")
         placed = placed.unionByName(done.where("not open").select("uid", "sequence_id", "offset"))
-        left, level = done.where("open").select("uid", "length"), level + 1
-        # a pool of open bins may be small or large: its own size decides
-        groups = min(-(-groups // 2), max(1, -(-left.count() // group)))
-        left = left.withColumn("grp", F.pmod(F.xxhash64("uid", F.lit(level)), F.lit(groups)))
+        left, level, before = done.where("open").select("uid", "length"), level + 1, counts[2]
+        groups = -(-counts[1] // group)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
