@@ -9,11 +9,14 @@ reaches can hold them.
 Reading.  Spark's text reader splits the files at the version line, whatever
 task a split falls to, so a version line inside a payload yields a false
 candidate.  Each task emits, for its candidates, the offset of the record and
-of its successor (from Content-Length).  Runs of candidates whose successor is
-the next candidate compact into islands; pointer jumping over the islands from
-the start of each file keeps what is reachable and thereby rejects version
-lines inside payloads.  Payloads that such lines cut in pieces are put together
-again from a second scan of just those pieces.
+of its successor (from Content-Length).  Within a split, runs of candidates
+whose successor is the next candidate compact into islands; pointer jumping
+over the islands from the start of each file keeps what is reachable and
+thereby rejects version lines inside payloads.  Offsets are running sums within
+a split plus the sizes of the splits before it, so no task sees more than one
+split of a file.  Payloads that version lines cut in pieces are put together
+again from a second scan, which finds the pieces by a digest of their text:
+nothing depends on both scans splitting the files alike.
 
 All of it runs in the JVM.  Defined results: null html is an empty payload; a
 null url leaves out the target header; a null page_id is below all others and
@@ -91,11 +94,16 @@ def write_archives(rows: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z
     rows.select(record.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", records_a_file).text(path)
 
 
+#: Bytes of a file that share a bucket when pieces are looked up by place.
+_SPAN = 1 << 20
+
+
 def _chunks(spark: SparkSession, path: str) -> DataFrame:
-    """What lies between version lines, in any order, with its place: the file,
-    its split and the row's number in the task."""
+    """What lies between version lines, in any order: the file, its split, the
+    row's number in the task, the text and a digest of it."""
     raw = spark.read.option("lineSep", VERSION).option("recursiveFileLookup", "true").text(path)
-    return raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("file_size"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("row"), F.col("value"))
+    meta = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("file_size"), F.col("_metadata.file_block_start").alias("part")]
+    return raw.select(*meta, F.monotonically_increasing_id().alias("row"), F.col("value"), F.unhex(F.md5(F.col("value").cast("binary"))).alias("sum"))
 
 
 def _field(head: F.Column, name: str) -> F.Column:
@@ -105,10 +113,10 @@ def _field(head: F.Column, name: str) -> F.Column:
 
 def candidates(spark: SparkSession, path: str) -> DataFrame:
     """Every chunk with its offset, its parsed header, its successor's offset and
-    its island: a run of candidates each of which is the successor of the last.
+    its island: within a split, a run of candidates each of which is the
+    successor of the last.
 
-    Offsets are running sums of chunk lengths within a file; only narrow rows
-    go through that window."""
+    Only narrow rows go through the windows, a split's rows through one."""
     chunk = _chunks(spark, path)
     head = F.substring_index("value", END, 1)
     raw = F.col("value").cast("binary")
@@ -125,15 +133,20 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     parsed = parsed.withColumn("whole", (F.col("content_length").isNotNull()) & (F.col("bytes") == F.col("head_bytes") + F.col("content_length") + 4) & (F.expr("right(value, 4)") == END))
     parsed = parsed.withColumn("content", F.when(F.col("whole"), content)).withColumns(_payload(F.col("content")))
     narrow = materialize(parsed.drop("value", "head", "content"), "warc-candidates")
-    order = Window.partitionBy("file").orderBy("part", "row")
-    place = F.sum(F.col("bytes") + len(VERSION)).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    splits = narrow.groupBy("file", "part").agg(F.sum(F.col("bytes") + len(VERSION)).alias("size"), F.count(F.lit(1)).alias("rows"))
+    earlier = Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a split
+    splits = splits.select("file", "part", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("before"), F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("rows_before"))
+    order = Window.partitionBy("file", "part").orderBy("row")
+    running = order.rowsBetween(Window.unboundedPreceding, -1)
+    placed = narrow.withColumns({"within": F.coalesce(F.sum(F.col("bytes") + len(VERSION)).over(running), F.lit(0)), "nth": F.row_number().over(order) - 1})
+    placed = placed.join(materialize(splits, "warc-splits"), ["file", "part"])
     # the first chunk of a file lies before its first version line
-    placed = narrow.withColumns({"nth": F.row_number().over(order) - 1, "at": F.coalesce(place, F.lit(0)) - len(VERSION)})
+    placed = placed.withColumns({"nth": F.col("nth") + F.col("rows_before"), "at": F.col("before") + F.col("within") - len(VERSION)}).drop("within", "before", "rows_before")
     step = F.col("at") + len(VERSION) + F.col("head_bytes") + F.col("content_length") + 4
     placed = placed.withColumn("next_at", F.when(F.col("record_type").isNotNull() & (step <= F.col("file_size")), step))
     follows = F.coalesce(F.lag("next_at").over(order) == F.col("at"), F.lit(False))
-    fresh = F.when((F.col("nth") == 0) | follows, 0).otherwise(1)
-    return placed.withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("fresh")
+    placed = placed.withColumn("fresh", F.when(follows, 0).otherwise(1))
+    return placed.withColumn("island", F.struct("part", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("run"))).drop("fresh")
 
 
 def _payload(content: F.Column) -> dict[str, F.Column]:
@@ -153,8 +166,8 @@ def _entries(found: DataFrame) -> DataFrame:
     """The islands on the chain of successors from the start of their file:
     file, island, entry (the offset at which the chain enters the island).
 
-    There is one row for each file and for each place where a payload holds a
-    version line, so what moves here doesn't grow with ordinary records."""
+    There is one row for each split of a file and for each place where a payload
+    holds a version line, so what moves here doesn't grow with ordinary records."""
     keys = found.where("nth > 0")
     islands = materialize(keys.groupBy("file", "island").agg(F.min("at").alias("begin"), F.max_by("next_at", "nth").alias("exit")), "warc-islands")
     inner = keys.select("file", F.col("at").alias("exit"), F.col("island").alias("next"))
@@ -186,10 +199,14 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     kept = found.join(entries, ["file", "island"]).where("at >= entry")
     cut = kept.where("not whole").select("file", F.col("at").alias("owner"), F.col("next_at").alias("until"), F.col("head_bytes").alias("skip"), F.col("content_length").alias("length"))
     if cut.take(1):
-        lies = F.last("owner", ignorenulls=True).over(Window.partitionBy("file").orderBy("nth"))
-        part = found.where("nth > 0").select("file", "part", "row", "nth", "at").join(cut.select("file", F.col("owner").alias("at"), "owner"), ["file", "at"], "left")
-        part = part.withColumn("owner", lies).join(cut, ["file", "owner"]).where("at < until")
-        text = part.join(_chunks(spark, path), ["file", "part", "row"]).select("file", "at", "owner", "skip", "length", "value")
+        spread = cut.withColumn("bucket", F.explode(F.sequence(F.expr(f"owner div {_SPAN}"), F.expr(f"until div {_SPAN}"))))
+        pieces = found.where("nth > 0").select("file", F.expr(f"at div {_SPAN}").alias("bucket"), "at", "sum", "bytes")
+        pieces = pieces.join(spread, ["file", "bucket"]).where("at >= owner and at < until").drop("bucket")
+        pieces = materialize(pieces, "warc-pieces")
+        texts = _chunks(spark, path).withColumn("bytes", F.octet_length("value").cast("long")).select("sum", "bytes", "value")
+        wanted = pieces.select("sum", "bytes").distinct()
+        texts = texts.join(wanted, ["sum", "bytes"], "left_semi").groupBy("sum", "bytes").agg(F.first("value").alias("value"))
+        text = pieces.join(texts, ["sum", "bytes"])
         joined = text.groupBy("file", "owner", "skip", "length").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("parts"))
         whole = F.array_join(F.transform("parts", lambda x: x["value"]), VERSION)
         content = F.call_function("substring", whole.cast("binary"), (F.col("skip") + 1).cast("int"), F.col("length").cast("int"))
