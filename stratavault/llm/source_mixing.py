@@ -7,8 +7,9 @@ the null space of the balancing constraints (token total and document total of
 the source) until at most two documents of a group are fractional, and a
 landing phase settles those few.
 
-Flights run over chunks of ``chunk`` documents each (a hash of the document
-decides, so a hot source is only more chunks), longest documents first; what a
+Flights run over chunks of ``chunk`` documents each (a hash of doc_id and size
+decides, and the number of a row among equal ones, so neither a hot source nor
+many rows without a doc_id make a large chunk), longest documents first; what a
 chunk leaves fractional, two documents at most, flies again with the leftovers
 of up to ``chunk // 2`` other chunks.  One chunk of each source, the only one of
 a small source, waits for these leftovers and flies and lands with them, so a
@@ -162,6 +163,13 @@ def _fly(seed: int, land: bool):
     return run
 
 
+def numbered(rows: DataFrame, each: int = 4096) -> DataFrame:
+    """Each of ``equal`` equal rows, with its number ``turn`` among them."""
+    parts = rows.withColumn("part", F.explode(F.expr(f"sequence(0, (equal - 1) div {each})")))
+    turns = F.expr(f"sequence(part * {each}, least(equal, (part + 1) * {each}) - 1)")
+    return parts.withColumn("turn", F.explode(turns)).drop("part", "equal")
+
+
 def mix_sources(
     docs: DataFrame,
     weights: tuple[float, ...] = (5, 2, 1),
@@ -178,11 +186,10 @@ def mix_sources(
     The driver gets one row a source, nothing else.
     """
     spark = docs.sparkSession
-    sized = materialize(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")),
-        "mix-sizes",
-    )
-    totals = [tuple(r) for r in sized.groupBy("source").agg(F.sum("size"), F.count(F.lit(1))).collect()]
+    # rows that are equal here are one row with a count, so that each gets a number that reruns agree on
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
+    sized = materialize(sized.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("equal")), "mix-sizes")
+    totals = [tuple(r) for r in sized.groupBy("source").agg(F.sum(F.col("size") * F.col("equal")), F.sum("equal")).collect()]
     totals.sort(key=lambda r: (r[0] is None, r[0] or ""))
     sizes = [r[1] for r in totals]
     targets = water_fill(sizes, [weights[i % len(weights)] for i in range(len(totals))], share * sum(sizes), cap)
@@ -194,11 +201,12 @@ def mix_sources(
         plan.append((source, i, int(size), float(target), sure, part if part > _EPS else 0.0, -(-int(count) // chunk)))
     kind = "source string, rank int, source_size long, target double, sure int, part double, chunks long"
     plan_df = spark.createDataFrame(plan, T._parse_datatype_string(kind))
+    sized = numbered(sized)
     joined = sized.alias("d").join(plan_df.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
     parted = joined.where("part > 0")
     sure_only = joined.where("part <= 0").select("d.source", "rank", F.lit(0).cast("long").alias("chunk"), "doc_id", "size", F.lit(0.0).alias("pi"))
     start = parted.select(
-        "d.source", "rank", F.expr("pmod(xxhash64(doc_id, size), chunks)").alias("chunk"), "doc_id", "size", F.col("part").alias("pi")
+        "d.source", "rank", F.expr("pmod(xxhash64(doc_id, size, turn), chunks)").alias("chunk"), "doc_id", "size", F.col("part").alias("pi")
     )
     done = sure_only
     held, flying = start.where("chunk = 0"), start.where("chunk > 0")
