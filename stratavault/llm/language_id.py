@@ -169,8 +169,9 @@ def train(docs: DataFrame, sample: int = 6000, dimensions: int = 4096) -> Profil
     return Profiles.build(languages, counts, dimensions)
 
 
-def predict(docs: DataFrame, profiles: Profiles, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of ``docs`` and, for each row, lang_pred and score.
+def predict(docs: DataFrame, profiles: Profiles, keep: list[str], names_out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns ``keep`` of ``docs`` and, for each row, the predicted language
+    and its score under the names ``names_out``, which mustn't be among ``keep``.
 
     The model is a broadcast variable of fixed size (symbols**3 floats a language)."""
     spark = docs.sparkSession
@@ -184,10 +185,10 @@ def predict(docs: DataFrame, profiles: Profiles, keep: list[str]) -> DataFrame:
             for a, b in pieces(text, 1 << 21):
                 part = text.slice(a, b - a)
                 lang, score = shared.value.score(part)
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(len(names))), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(len(names))), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*names, *names_out])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema.fields[:-1])
-    return inner.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return inner.mapInArrow(run, f"{kinds}, `{names_out[0]}` string, `{names_out[1]}` double")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

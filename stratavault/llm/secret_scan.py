@@ -20,9 +20,9 @@ their row; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -144,6 +144,16 @@ def lexed_spans(text: str, threshold: float = 0.6) -> list[tuple[int, int, str]]
     return [(s, e, "lexed") for (s, e), score in best.items() if score >= threshold]
 
 
+def uncovered(spans: list[tuple[int, int, str]], by: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """The spans that don't lie within one of ``by``."""
+    starts, ends = [], []  # ends: the furthest end of what starts there or before
+    for s, e, _ in sorted(by):
+        starts.append(s)
+        ends.append(max(e, ends[-1] if ends else 0))
+    found = [bisect_right(starts, s) - 1 for s, _, _ in spans]
+    return [x for x, k in zip(spans, found) if k < 0 or ends[k] < x[1]]
+
+
 def find_spans(text: str | None, threshold: float = 0.6) -> list[tuple[int, int, str]]:
     """All spans of a text by start, then kind as listed; code points, end exclusive."""
     if not text:
@@ -151,7 +161,7 @@ def find_spans(text: str | None, threshold: float = 0.6) -> list[tuple[int, int,
     base = base_spans(text)
     extra = []
     if may_bind(text):
-        extra = [x for x in lexed_spans(text, threshold) if not any(s <= x[0] and x[1] <= e for s, e, _ in base)]
+        extra = uncovered(lexed_spans(text, threshold), base)
     return sorted(base + extra, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 
