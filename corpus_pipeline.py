@@ -12,7 +12,8 @@ again; all but the last return the columns of ``documents``:
              twice has two rows
 5. pack      documents become pieces in sequences of 1024 tokens
 
-Defined results: the second and fourth stage decide by row, so rows that repeat
+Defined results: columns of ``documents`` beyond the usual ones stay, whatever
+their names; the second and fourth stage decide by row, so rows that repeat
 a doc_id or have none count by their own texts; texts without words are near
 duplicates of nothing; an empty table passes through every stage.
 """
@@ -35,37 +36,47 @@ LEAST_SCORE = 0.02
 DIMENSIONS = 1 << 16
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name = f"{name}_"
+    return name
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents that resemble a language of the training rows."""
     model = language_id.train(docs, dimensions=DIMENSIONS)
     if not model.languages:
         return docs
-    found = language_id.predict(docs, model, [*docs.columns])
-    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    lang, score = fresh(docs, "lang_pred"), fresh(docs, "score")
+    found = language_id.predict(docs, model, docs.columns, (lang, score))
+    return found.where((F.col(lang) != language_id.UNKNOWN) & (F.col(score) >= LEAST_SCORE)).select(*docs.columns)
 
 
-def rows_of(docs: DataFrame) -> tuple[DataFrame, bool]:
-    """``docs`` with a number ``__row`` that tells rows apart, and whether that is
-    doc_id.  Where doc_id repeats or is null, rows are numbered and written, so
-    that all later reads see the same numbers."""
+def rows_of(docs: DataFrame) -> tuple[DataFrame, str, bool]:
+    """``docs`` with a number that tells rows apart, the name of its column, and
+    whether it is doc_id.  Where doc_id repeats or is null, rows are numbered and
+    written, so that all later reads see the same numbers."""
+    row = fresh(docs, "row")
     each = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     most = each.agg(F.max(F.when(F.col("doc_id").isNull(), F.lit(2)).otherwise(F.col("n")))).first()[0]
     if (most or 0) <= 1:
-        return docs.withColumn("__row", F.col("doc_id").cast("long")), True
-    return materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "pipeline-rows"), False
+        return docs.withColumn(row, F.col("doc_id").cast("long")), row, True
+    return materialize(docs.withColumn(row, F.monotonically_increasing_id()), "pipeline-rows"), row, False
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row of each class of near duplicates, the one of the smallest doc_id (null last)."""
-    rows, own = rows_of(docs)
-    classes = minhash_dedup.near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"))
+    rows, row, own = rows_of(docs)
+    classes = minhash_dedup.near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"))
     if own:
-        kept = classes.where("kept").select(F.col("doc_id").alias("__row"))
+        kept = classes.where("kept").select(F.col("doc_id").alias(row))
     else:
-        order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("__row"))
-        named = classes.select(F.col("doc_id").alias("__row"), "component_id").join(rows.select("__row", "doc_id"), "__row")
-        kept = named.groupBy("component_id").agg(F.min_by("__row", order).alias("__row")).select("__row")
-    return rows.join(materialize(kept, "pipeline-kept"), "__row", "left_semi").select(*docs.columns)
+        order = F.struct(F.col("id").isNull(), F.col("id"), F.col("number"))
+        named = classes.select(F.col("doc_id").alias("number"), "component_id").join(rows.select(F.col(row).alias("number"), F.col("doc_id").alias("id")), "number")
+        kept = named.groupBy("component_id").agg(F.min_by("number", order).alias(row)).select(row)
+    return rows.join(materialize(kept, "pipeline-kept"), row, "left_semi").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,10 +86,11 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take documents as often as the mix of their source says."""
-    rows, _ = rows_of(docs)
-    mixed = source_mixing.mix_sources(rows.select(F.col("__row").alias("doc_id"), "text", "source"))
-    out = rows.join(mixed.where("copies > 0").select(F.col("doc_id").alias("__row"), "copies"), "__row")
-    return out.withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    rows, row, _ = rows_of(docs)
+    mixed = source_mixing.mix_sources(rows.select(F.col(row).alias("doc_id"), "text", "source"))
+    copies = fresh(rows, "copies")
+    out = rows.join(mixed.where("copies > 0").select(F.col("doc_id").alias(row), F.col("copies").alias(copies)), row)
+    return out.withColumn(row, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
