@@ -46,8 +46,8 @@ def with_prefix(id_: Column, prefix: str = PREFIX) -> Column:
 
 
 def bare_id(header: Column) -> Column:
-    """The id in ``<prefix/id>``; null if it isn't of that form."""
-    found = F.regexp_extract(header, rf"^<{PREFIX.replace('.', '[.]')}([0-9a-f]+)>$", 1)
+    """The id in ``<prefix/id>``, any prefix; null if it isn't of that form."""
+    found = F.regexp_extract(header, r"^<(?:.*/)?([0-9a-fA-F]+)>$", 1)
     return F.when(found != "", found)
 
 
@@ -72,7 +72,7 @@ def has_flag(flags: Column, bit: int) -> Column:
 
 def id_problem(text: Column, size: int = ID_SIZE, prefix: str = PREFIX) -> Column:
     """The first thing wrong with an id, null if nothing is."""
-    bare = F.when(F.lower(F.substring(text, 1, len(prefix))) == prefix, F.substring(text, len(prefix) + 1, 1 << 20)).otherwise(text)
+    bare = F.when(F.lower(F.substring(text, 1, len(prefix))) == prefix, F.substr(text, F.lit(len(prefix) + 1))).otherwise(text)
     return (
         F.when(bare.rlike("[:/]"), "wrong prefix")
         .when(~bare.rlike("^[0-9A-Fa-f]*$"), "not hexadecimal")
@@ -81,21 +81,14 @@ def id_problem(text: Column, size: int = ID_SIZE, prefix: str = PREFIX) -> Colum
     )
 
 
-def silo_path(number: Column) -> Column:
+def silo_path(number: Column, basename: str = "%08d.warc.gz", hold: bool = False) -> Column:
     """Path of a silo: a level folder, two digits a level, then its name."""
-    def two(power: int) -> Column:
-        return F.format_string("%02d/", F.floor(number / power) % 100)
-
-    top = [
-        (100, F.lit("0/")),
-        (10_000, F.concat(F.lit("1/"), two(100))),
-        (1_000_000, F.concat(F.lit("2/"), two(10_000), two(100))),
-        (100_000_000, F.concat(F.lit("3/"), two(1_000_000), two(10_000), two(100))),
-    ]
-    folder = F.lit(None).cast("string")
-    for below, path in reversed(top):
-        folder = F.when(number < below, path).otherwise(folder)
-    return F.concat(folder, F.format_string("%08d.warc.gz", number))
+    number = number.cast("long")
+    pairs = [F.format_string("%02d/", F.floor(number / 100**k) % 100) for k in range(9, 0, -1)]  # as many as a long has
+    level = sum((F.when(number >= 100**k, 1).otherwise(0) for k in range(1, 10)), F.lit(0))
+    used = F.slice(F.array(*pairs), 10 - level, level)
+    folder = F.concat(level.cast("string"), F.lit("/"), F.when(level > 0, F.array_join(used, "")).otherwise(""))
+    return F.concat(folder, F.format_string(basename.replace("%08u", "%08d") + (".hold" if hold else ""), number))
 
 
 def parse_size(text: Column, base: Column | None = None) -> tuple[Column, Column]:
@@ -146,10 +139,50 @@ def bucket_bits(records: Column) -> Column:
 
 
 def unvis(text: Column) -> Column:
-    """Decode octal escapes of a manifest name (ASCII codes)."""
-    parts = F.split(text, r"\\(?=[0-7]{3})")
-    decoded = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.concat(F.char(F.conv(F.substring(p, 1, 3), 8, 10).cast("int")), F.substring(p, 4, 1 << 20)))
-    return F.concat(F.element_at(parts, 1), F.array_join(decoded, ""))
+    """Decode the octal escapes of a manifest name: bytes, then UTF-8."""
+    parts = F.split(F.concat(F.lit("\\000"), text), r"\\(?=[0-7]{3})")
+    parts = F.slice(parts, 2, F.size(parts) - 1)
+    hexes = F.transform(parts, lambda p: F.concat(F.lpad(F.conv(F.substring(p, 1, 3), 8, 16), 2, "0"), F.hex(F.substr(p, F.lit(4)).cast("binary"))))
+    return F.decode(F.unhex(F.substr(F.array_join(hexes, ""), F.lit(3))), "UTF-8")
+
+
+def key_bytes(key: Column, n: int) -> Column:
+    """The first ``n`` bytes of a hex key, short ones filled with zeros."""
+    return F.unhex(F.rpad(F.substring(key, 1, 2 * n), 2 * n, "0"))
+
+
+def warc_date(at: Column) -> Column:
+    """UTC seconds as WARC writes them."""
+    return F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def wants_gzip(accept_encoding: Column) -> Column:
+    return F.coalesce(F.contains(accept_encoding, F.lit("gzip")), F.lit(False))
+
+
+def request_id(path_info: Column) -> Column:
+    """A request's path without its leading slash."""
+    return F.regexp_replace(path_info, "^/", "")
+
+
+def silo_number(path: Column) -> Column:
+    """The digits at the start of a silo's file name."""
+    return F.regexp_extract(path, r"([0-9]+)[^/]*$", 1).try_cast("int")
+
+
+def header_value(headers: Column, name: str) -> Column:
+    """A field of a header map, names without case."""
+    found = F.map_filter(headers, lambda k, _: F.lower(k) == name.lower())
+    return F.element_at(F.map_values(found), 1)
+
+
+def header_set(headers: Column, name: str, value: Column) -> Column:
+    """The map with one field set, in place of any of that name in other case."""
+    return F.map_concat(header_delete(headers, name), F.create_map(F.lit(name), value))
+
+
+def header_delete(headers: Column, *names: str) -> Column:
+    return F.map_filter(headers, lambda k, _: ~F.lower(k).isin([n.lower() for n in names]))
 
 
 def mime_allowed(content_type: Column, allowed: list[str]) -> Column:

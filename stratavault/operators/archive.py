@@ -12,19 +12,35 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 
 
-def identify(payloads: DataFrame) -> DataFrame:
-    """Adds id, sha and length; empty payloads are refused."""
-    rows = payloads.where(F.octet_length("payload") > 0)
-    return rows.withColumns({"sha": X.digest(F.col("payload")), "length": F.octet_length("payload").cast("long")}).withColumn("id", F.substring("sha", 1, X.ID_SIZE))
-
-
-def store_dedup(payloads: DataFrame, present: DataFrame | None = None) -> DataFrame:
+def identify(payloads: DataFrame, strict: bool = False) -> DataFrame:
+    """Adds id, sha and length.  Empty payloads are left out, or an error if ``strict``.
+
+    Metadata rows have their reference in ``refers_to``, which is part of their
+    id; an id in ``forced_id`` stands before any computed one."""
+    size = F.octet_length("payload")
+    if strict:
+        refused = F.raise_error(F.lit("empty input")).cast("boolean")
+        rows = payloads.where(F.when(F.coalesce(size, F.lit(0)) > 0, F.lit(True)).otherwise(refused))
+    else:
+        rows = payloads.where(size > 0)
+    rows = rows.withColumns({"sha": X.digest(F.col("payload")), "length": size.cast("long")})
+    id_ = F.substring("sha", 1, X.ID_SIZE)
+    if "refers_to" in payloads.columns:
+        both = F.concat(X.ref_header(F.col("refers_to")), F.lit("\n"), F.col("sha"), F.lit("\n"))
+        id_ = F.when(F.col("refers_to").isNotNull(), F.substring(F.sha2(both.cast("binary"), 256), 1, X.ID_SIZE)).otherwise(id_)
+    if "forced_id" in payloads.columns:
+        id_ = X.coalesced_id(F.col("forced_id"), id_)
+    return rows.withColumn("id", id_)
+
+
+def store_dedup(payloads: DataFrame, present: DataFrame | None = None, strict: bool = False) -> DataFrame:
     """What a store adds: the first payload of each id that isn't present yet.
 
-    Warcinfo and continuation entries of ``present`` don't count."""
-    rows = identify(payloads)
-    first = rows.groupBy("id").agg(F.min("seq").alias("seq"))
-    new = rows.join(first, ["id", "seq"])
+    Warcinfo and continuation entries of ``present`` don't count.  The window's
+    limit drops copies in each task before the exchange, so a payload that is
+    there very often travels once a task."""
+    first = F.row_number().over(Window.partitionBy("id").orderBy("seq"))
+    new = identify(payloads, strict).withColumn("nth", first).where("nth = 1").drop("nth")
     if present is not None:
         heads = present.where(X.has_flag(F.col("flags"), X.RESOURCE | X.METADATA)).select("key").distinct()
         new = new.join(heads, X.key_of(new.id) == heads.key, "left_anti")
@@ -37,10 +53,9 @@ def duplicates(payloads: DataFrame) -> DataFrame:
 
 def segments(objects: DataFrame, cap: int) -> DataFrame:
     """Objects cut at ``cap`` payload bytes: number, identity, flags and cont."""
-    count = F.ceil(F.col("length") / cap).cast("int")
-    cut = objects.withColumn("n_segments", count).withColumn("number", F.explode(F.sequence(F.lit(1), F.col("n_segments"))))
-    body = F.call_function("substring", F.col("payload").cast("binary"), ((F.col("number") - 1) * cap + 1).cast("int"), F.lit(cap))
-    cut = cut.withColumn("body", body)
+    cut = objects.withColumn("n_segments", F.ceil(F.col("length") / cap).cast("int"))
+    bodies = F.transform(F.sequence(F.lit(1), F.col("n_segments")), lambda k: F.call_function("substring", F.col("payload").cast("binary"), ((k - 1) * cap + 1).cast("int"), F.lit(cap)))
+    cut = cut.select(*[c for c in cut.columns if c != "payload"], F.posexplode(bodies).alias("number", "body")).withColumn("number", F.col("number") + 1)
     seg_id = F.when(F.col("number") == 1, F.col("id")).otherwise(X.ident(F.col("body")))
     cut = cut.withColumns({"segment_id": seg_id, "segment_length": F.octet_length("body").cast("long"), "flags": X.segment_flags(F.col("warc_type"), F.col("number"), F.col("n_segments"))})
     following = F.lead("segment_id").over(Window.partitionBy("id").orderBy("number"))
@@ -74,12 +89,40 @@ def dump_line() -> Column:
 
 
 def by_id(index: DataFrame, fragments: DataFrame) -> DataFrame:
-    """Index rows whose key starts with a fragment of two digits or more.
+    """Index rows whose key starts with a fragment, for fragments of any length.
+
+    A key has 24 digits, so longer fragments are cut; an empty one finds all.
+    Fragments that aren't hexadecimal are an error.  There is one equi-join for
+    each length that occurs, 25 at most."""
+    bare = F.when(F.lower(F.substring("fragment", 1, len(X.PREFIX))) == X.PREFIX, F.substr("fragment", F.lit(len(X.PREFIX) + 1))).otherwise(F.col("fragment"))
+    wanted = fragments.select("fragment", F.lower(F.substring(F.when(bare.rlike("^[0-9A-Fa-f]*$"), bare).otherwise(F.raise_error(F.lit("invalid id fragment"))), 1, 24)).alias("start"))
+    lengths = sorted(r[0] for r in wanted.select(F.length("start").alias("n")).distinct().where("n is not null").collect())
+    found = None
+    for n in lengths:
+        some = index.withColumn("start", F.substring("key", 1, n)).join(wanted.where(F.length("start") == n), "start").drop("start")
+        found = some if found is None else found.unionByName(some)
+    found = index.join(wanted, F.lit(False)) if found is None else found
+    return found.select("fragment", "key", "flags", *[c for c in ("silo", "offset") if c in index.columns])
+
+
+def by_id_lines(found: DataFrame, records: DataFrame) -> DataFrame:
+    """The record of each match, looked up by place: fragment, line."""
+    heads = records.select("silo", "offset", "record_id", "warc_type")
+    line = F.format_string("id %s wt %s", "record_id", "warc_type")
+    return found.join(heads, ["silo", "offset"]).select("fragment", line.alias("line"))
+
+
+def exit_status(found: DataFrame, always_ok: bool = False) -> DataFrame:
+    """The number of matches as a status, 255 at most."""
+    return found.agg(F.when(F.lit(always_ok), F.lit(0)).otherwise(F.least(F.count(F.lit(1)), F.lit(255))).cast("int").alias("status"))
+
 
-    The first two digits are an equi-join key, so no nested loop is needed."""
-    left = fragments.select(F.lower("fragment").alias("fragment")).withColumn("head", F.substring("fragment", 1, 2))
-    right = index.withColumn("head", F.substring("key", 1, 2))
-    return right.join(left, (left["head"] == right["head"]) & right["key"].startswith(left["fragment"])).select("fragment", "key", "flags")
+def union_on_read(*parts: DataFrame) -> DataFrame:
+    """The index as readers see it: sorted rows and those appended since."""
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def filter_ids(candidates: DataFrame, index: DataFrame, mode: str = "missing", records: DataFrame | None = None) -> DataFrame:

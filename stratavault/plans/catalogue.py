@@ -135,7 +135,7 @@ _FRAG = ", frags as (select distinct substr(sha256(text), 1, 3) as fragment from
 @query("q08_by_id_prefix", f"with {_INDEX}{_FRAG} select fragment, key, flags from idx join frags on starts_with(key, fragment)")
 def q08(spark, d):
     frags = _t(spark, d, "benchmark").where("text is not null").select(F.substring(X.digest(F.col("text")), 1, 3).alias("fragment")).distinct()
-    return A.by_id(index(spark, d), frags)
+    return A.by_id(index(spark, d), frags).select("fragment", "key", "flags")
 
 
 @query("q09_filter_missing", f"with {_INDEX}{_CAND} select pos, line from lines where not exists (select 1 from idx where idx.key = lines.key)")

@@ -1,14 +1,29 @@
 """Silo files (``*.warc.gz``) as a data source: ``format("silo")``.
 
 A record is three gzip members: header (with its own length in an extra field),
-body, and the record's end.  Options: ``body`` (``true`` to decompress bodies;
-off, they are skipped by their stated length), ``lenient`` (walk members that
-lack the length field)."""
+body, and the record's end.  Reading options:
+
+``body``     ``true`` to decompress bodies; off, they are skipped by their stated length
+``raw``      ``true`` to return the body's gzip member as it is
+``lenient``  walk members that lack the length field
+``offset``   where to begin in a file (a record's start)
+``silo``     numbers, comma-separated: only these silos
+
+A folder with level folders (``0/``, ``1/``, ...) is read like an archive: up to
+the first folder of a hundred that is missing.  One silo is one partition; its
+size is bounded by the archive's configuration.  A file is read in blocks, and a
+task holds one record at a time.
+
+Writing takes rows (silo, record), or (record_id, headers, body), that come
+clustered and in order; without ``silo`` each task fills one silo behind the
+largest number present.  A silo is staged under ``.hold`` and gets its name when
+the job commits.  A silo that is
+there already makes the job fail, unless ``append`` is ``true``: then the staged
+file starts with the present bytes and takes its place if those haven't changed.
+"""
 
 from __future__ import annotations
 
-import glob
-import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -17,13 +32,14 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from ..operators.bytes_ops import good_length, member
+from . import files
 
 #: The members' end of a record decompresses to CR LF CR LF.
 SEPARATOR = member(b"\r\n\r\n", 0)
 
 SCHEMA = (
     "path string, silo int, offset long, record_id string, warc_type string, warc_date string, content_type string, content_length string, block_digest string, payload_digest string, "
-    "refers_to string, segment_number string, segment_origin_id string, segment_total_length string, headers map<string,string>, header_gz_len long, body_gz_len long, body binary, error string"
+    "refers_to string, segment_number string, segment_origin_id string, segment_total_length string, headers map<string,string>, header_gz_len long, body_gz_len long, body binary, error string, body_gz binary, body_len long, end_offset long, version string"
 )
 _FIELDS = {"warc-type": 4, "warc-date": 5, "content-type": 6, "content-length": 7, "warc-block-digest": 8, "warc-payload-digest": 9, "warc-refers-to": 10, "warc-segment-number": 11, "warc-segment-origin-id": 12, "warc-segment-total-length": 13}
 
@@ -51,45 +67,87 @@ def parse_header(text: str) -> tuple[str | None, dict[str, str], str | None]:
     return record_id, fields, None if record_id else "no record id"
 
 
-def _walk(data: bytes, at: int) -> tuple[bytes, int]:
-    """A member's content and its length on disk."""
-    reader = zlib.decompressobj(31)
-    out = reader.decompress(data[at:])
-    if not reader.eof:
-        raise ValueError("the member doesn't end")
-    return out, len(data) - at - len(reader.unused_data)
-
-
-def read_silo(path: str, body: bool, lenient: bool) -> Iterator[tuple]:
-    with open(path, "rb") as file:
-        data = file.read()
-    number = re.search(r"(\d+)[^/]*$", os.path.basename(path))
-    silo, at = int(number[1]) if number else None, 0
-    while at < len(data):
-        row: list = [path, silo, at] + [None] * 16
+_BLOCK = 1 << 20
+
+
+class _Stream:
+    """A file read forward in blocks, with its place."""
+
+    def __init__(self, path: str, at: int):
+        system, inner = files.split(path)
+        self.file = system.open_input_file(inner)
+        self.size = self.file.size()
+        self.file.seek(at)
+        self.at, self.kept = at, b""
+
+    def peek(self, n: int) -> bytes:
+        while len(self.kept) < n:
+            more = self.file.read(max(_BLOCK, n - len(self.kept)))
+            if not more:
+                break
+            self.kept += more
+        return self.kept[:n]
+
+    def take(self, n: int) -> bytes:
+        out = self.peek(n)
+        self.kept = self.kept[len(out) :]
+        self.at += len(out)
+        return out
+
+    def skip(self, n: int) -> None:
+        self.at += n
+        if n <= len(self.kept):
+            self.kept = self.kept[n:]
+        else:
+            self.kept = b""
+            self.file.seek(self.at)
+
+    def unpack(self, keep: bool = True) -> tuple[bytes, int]:
+        """Content and length of the member that begins here."""
+        reader, parts, start, content = zlib.decompressobj(31), [], self.at, 0
+        while not reader.eof:
+            block = self.take(_BLOCK)
+            if not block:
+                raise ValueError("the member doesn't end")
+            part = reader.decompress(block)
+            content += len(part)
+            if keep:
+                parts.append(part)
+        rest = reader.unused_data
+        self.kept, self.at = rest + self.kept, self.at - len(rest)
+        return b"".join(parts) if keep else content.to_bytes(8, "big"), self.at - start
+
+
+def read_silo(path: str, body: bool, lenient: bool, raw: bool = False, at: int = 0) -> Iterator[tuple]:
+    number = re.search(r"(\d+)[^/]*$", path)
+    silo = int(number[1]) if number else None
+    stream = _Stream(path, at)
+    while stream.at < stream.size:
+        row: list = [path, silo, stream.at] + [None] * 20
         try:
-            head, head_len = _walk(data, at)
+            head, row[15] = stream.unpack()
+            row[22] = head[:8].decode("ascii", "replace")
             row[3], fields, row[18] = parse_header(head.decode("utf-8", "replace"))
             for name, place in _FIELDS.items():
                 row[place] = fields.get(name)
-            row[14], row[15] = fields, head_len
-            start = at + head_len
-            stated = good_length(data[start : start + 20])
+            row[14] = fields
+            stated = good_length(stream.peek(20))
             if stated is None and not lenient:
                 raise ValueError("the body lacks its length field")
+            if raw and stated is not None:
+                row[19] = stream.peek(stated)
             if body or stated is None:
-                row[17], row[16] = _walk(data, start)
+                content, row[16] = stream.unpack(body)
+                row[20] = len(content) if body else int.from_bytes(content, "big")
+                row[17] = content if body else None
                 if stated is not None and stated != row[16]:
-                    row[18] = row[18] or "bad gzip length"
-                if not body:
-                    row[17] = None
+                    row[18] = row[18] or f"bad gzip length ({stated} vs {row[16]})"
             else:
                 row[16] = stated
-            end = start + row[16]
-            content, length = _walk(data, end)
-            if content != b"\r\n\r\n":
+                stream.skip(stated)
+            row[21] = stream.at
+            if stream.unpack()[0] != b"\r\n\r\n":
                 row[18] = row[18] or "bad separator"
-            at = end + length
         except (ValueError, zlib.error) as e:
             row[18] = str(e)
             yield tuple(row)
@@ -97,49 +155,116 @@ def read_silo(path: str, body: bool, lenient: bool) -> Iterator[tuple]:
         yield tuple(row)
 
 
+def silo_number(path: str) -> int:
+    found = re.search(r"(\d+)[^/]*$", path)
+    return int(found[1]) if found else -1
+
+
+def enumerate_silos(root: str) -> list[str]:
+    """The silo files below a folder by number; of an archive, up to the first
+    folder of a hundred silos that is missing."""
+    found = sorted((silo_number(p), p) for p, *_ in files.listed(root, ".warc.gz"))
+    _, top = files.split(root)
+    levels = {p[len(top) :].strip("/").split("/")[0] for _, p in found}
+    if found and all(x.isdigit() for x in levels):
+        folder, seen = 0, {n // 100 for n, _ in found}
+        while folder in seen or files.exists(f"{root.rstrip('/')}/{silo_folder(folder * 100)}"):
+            folder += 1
+        found = [(n, p) for n, p in found if n // 100 < folder]
+    return [p for _, p in found]
+
+
+def silo_folder(number: int) -> str:
+    """``0/``, ``1/01/``, ``2/01/23/``: the level, then two digits a level."""
+    groups, rest = [], number // 100
+    while rest:
+        groups.append(f"{rest % 100:02d}/")
+        rest //= 100
+    return f"{len(groups)}/" + "".join(reversed(groups))
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path = options["path"].removeprefix("file://")
-        self.body, self.lenient = options.get("body", "false") == "true", options.get("lenient", "false") == "true"
+        self.path, self.options = options["path"], dict(options)
 
     def partitions(self) -> list[InputPartition]:
-        found = sorted(glob.glob(f"{self.path}/**/*.warc.gz", recursive=True)) if os.path.isdir(self.path) else sorted(glob.glob(self.path))
-        return [InputPartition(x) for x in found]
+        found = [self.path] if self.path.endswith(".warc.gz") else enumerate_silos(self.path)
+        if "silo" in self.options:
+            wanted = {int(x) for x in self.options["silo"].split(",") if x}
+            found = [p for p in found if silo_number(p) in wanted]
+        return [InputPartition(x) for x in found] or [InputPartition(None)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        yield from read_silo(partition.value, self.body, self.lenient)
+        if partition.value is not None:
+            on = lambda name: self.options.get(name, "false") == "true"
+            yield from read_silo(partition.value, on("body"), on("lenient"), on("raw"), int(self.options.get("offset", 0)))
+
+
+def encode(record_id: str, headers: dict[str, str], body: bytes) -> bytes:
+    """The three members of a record."""
+    fields = "".join(f"{k}: {v}\r\n" for k, v in sorted(headers.items(), key=lambda x: x[0].lower()))
+    return member(f"WARC/1.1\r\nWARC-Record-ID: <{record_id}>\r\n{fields}\r\n".encode(), 0) + member(body) + SEPARATOR
 
 
 class _Writer(DataSourceWriter):
-    """Rows (record_id, headers, body) to one new silo a task; staged under
-    ``.hold`` and linked into place when the job commits."""
+    """Rows (silo, record): each silo's records one after another."""
 
-    def __init__(self, options: dict, overwrite: bool):
-        self.path, self.overwrite = options["path"].removeprefix("file://"), overwrite
+    def __init__(self, options: dict):
+        self.path, self.append = options["path"].rstrip("/"), options.get("append", "false") == "true"
+        self.basename = options.get("basename", "%08d.warc.gz")
+        self.first = max([silo_number(p) for p, *_ in files.listed(self.path, ".warc.gz")], default=-1) + 1
 
     def write(self, rows: Iterator) -> WriterCommitMessage:
         from pyspark import TaskContext
 
-        number = TaskContext.get().partitionId()
-        os.makedirs(self.path, exist_ok=True)
-        hold = f"{self.path}/{number:08d}.warc.gz.{os.getpid()}.hold"
-        with open(hold, "wb") as file:
-            for row in rows:
-                fields = "".join(f"{k}: {v}\r\n" for k, v in sorted((row["headers"] or {}).items(), key=lambda x: x[0].lower()))
-                file.write(member(f"WARC/1.1\r\nWARC-Record-ID: <{row['record_id']}>\r\n{fields}\r\n".encode(), 0) + member(bytes(row["body"] or b"")) + SEPARATOR)
         message = WriterCommitMessage()
-        message.hold, message.final = hold, f"{self.path}/{number:08d}.warc.gz"
+        message.staged = []
+        out, now, attempt = None, None, TaskContext.get().taskAttemptId()
+        try:
+            for row in rows:
+                silo = row["silo"] if "silo" in row else self.first + TaskContext.get().partitionId()
+                if silo != now:
+                    if out is not None:
+                        out.close()
+                    now = silo
+                    final = f"{self.path}/{silo_folder(now)}{self.basename % now}"
+                    hold, before = f"{final}.{attempt}.hold", -1
+                    files.make_parent(hold)
+                    system, inner = files.split(hold)
+                    out = system.open_output_stream(inner)
+                    message.staged.append((hold, final, before))
+                    if files.exists(final):
+                        if not self.append:
+                            raise FileExistsError(f"silo {now} is there already")
+                        with system.open_input_stream(files.split(final)[1]) as old:
+                            before = 0
+                            while block := old.read(_BLOCK):
+                                out.write(block)
+                                before += len(block)
+                        message.staged[-1] = (hold, final, before)
+                out.write(bytes(row["record"]) if "record" in row else encode(row["record_id"], row["headers"] or {}, bytes(row["body"] or b"")))
+            if out is not None:
+                out.close()
+        except BaseException:
+            if out is not None:
+                out.close()
+            for hold, *_ in message.staged:
+                files.remove(hold)
+            raise
         return message
 
     def commit(self, messages: list) -> None:
         for m in messages:
-            if m is not None:
-                os.replace(m.hold, m.final)
+            for hold, final, before in m.staged if m is not None else ():
+                if before < 0:
+                    files.install(hold, final)
+                else:
+                    files.replace(hold, final, before)
 
     def abort(self, messages: list) -> None:
         for m in messages:
-            if m is not None and os.path.exists(m.hold):
-                os.remove(m.hold)
+            for hold, *_ in m.staged if m is not None else ():
+                files.remove(hold)
 
 
 class SiloSource(DataSource):
@@ -156,7 +281,9 @@ class SiloSource(DataSource):
         return _Reader(self.options)
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return _Writer(self.options, overwrite)
+        if overwrite:
+            raise ValueError("silos are never overwritten")
+        return _Writer(self.options)
 
 
 def register(spark: SparkSession) -> None:
