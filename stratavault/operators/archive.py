@@ -271,9 +271,25 @@ def rebuild_headers(rows: DataFrame) -> DataFrame:
     return rows.withColumn("new_id", F.when(legacy, X.ident(F.col("body"))).otherwise(F.col("record_id"))).withColumn("new_headers", new)
 
 
-def warcinfo(silos: DataFrame, title: str, fields: list[tuple[str, str]]) -> DataFrame:
-    """The warcinfo record of each silo: body, identity, length."""
+#: Field names as they are written.
+_NAMES = ("Content-Length", "Content-Type", "WARC-Block-Digest", "WARC-Date", "WARC-Filename", "WARC-Payload-Digest", "WARC-Refers-To", "WARC-Segment-Number", "WARC-Segment-Origin-ID", "WARC-Segment-Total-Length", "WARC-Type")
+
+
+def proper_names(headers: Column) -> Column:
+    """A header map with known field names in their usual case."""
+    known = F.create_map(*[F.lit(x) for n in _NAMES for x in (n.lower(), n)])
+    return F.transform_keys(headers, lambda k, _: F.coalesce(F.try_element_at(known, F.lower(k)), k))
+
+
+def warcinfo_bodies(silos: DataFrame, title: str, fields: list[tuple[str, str]]) -> DataFrame:
+    """(silo, body, id) of the warcinfo record of each silo; reserved field names
+    in ``fields`` are dropped."""
     kept = [(n, v) for n, v in fields if n.lower() not in ("conformsto:", "format:", "software:", "title:")]
     lines = [f"title: {title} "] + [f"{n} {v}" for n, v in kept] + ["format: WARC File Format 1.1", "conformsTo: http://iipc.github.io/warc-specifications/specifications/warc-format/warc-1.1/", "software: stratavault"]
     body = F.concat(F.lit(lines[0]), X.silo_path(F.col("silo")), F.lit("\r\n" + "".join(f"{x}\r\n" for x in lines[1:])))
-    return silos.withColumn("body", body).select("silo", X.ident(F.col("body")).alias("id"), F.octet_length("body").cast("long").alias("length"))
+    return silos.select("silo", body.alias("body")).withColumn("id", X.ident(F.col("body")))
+
+
+def warcinfo(silos: DataFrame, title: str, fields: list[tuple[str, str]]) -> DataFrame:
+    """Silo, identity and length of each silo's warcinfo record."""
+    return warcinfo_bodies(silos, title, fields).select("silo", "id", F.octet_length("body").cast("long").alias("length"))

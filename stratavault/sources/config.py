@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import files
+
 _UNITS = {"": 0, "k": 1, "m": 2, "g": 3, "t": 4, "p": 5}
 
 
@@ -64,6 +67,8 @@ class ArchiveConfig:
     sort_size: int = 10 * 1024**2
     resource_types: tuple[str, ...] = ("*",)
     metadata_types: tuple[str, ...] = ("*",)
+    title: str = "Archive"
+    warcinfo: tuple[tuple[str, str], ...] = ()
 
     def __post_init__(self) -> None:
         if not self.prefix.endswith("/"):
@@ -110,8 +115,31 @@ def load(text: str) -> ArchiveConfig:
     for section, name in (("resource.mime-types", "resource_types"), ("metadata.mime-types", "metadata_types")):
         if section in found:
             values[name] = tuple(n for n, _ in found[section])
+    if "warcinfo.body" in found:
+        values["warcinfo"] = tuple((n, v or "") for n, v in found["warcinfo.body"])
     return ArchiveConfig(**values)
 
 
-def info(config: ArchiveConfig) -> str:
-    return f"id_size: {config.id_size}"
+def read(path: str) -> str:
+    """The text of a configuration file; bytes that no UTF-8 text holds, and
+    anything but a file, are refused."""
+    system, inner = files.split(path)
+    if not system.get_file_info(inner).is_file:
+        raise ConfigError(f"{path} is not a file")
+    with system.open_input_stream(inner, compression=None) as file:
+        data = file.read()
+    if any(b in (0x00, 0xC0, 0xC1) or b > 0xF4 for b in data):
+        raise ConfigError(f"{path} holds illegal bytes")
+    return data.decode("utf-8")
+
+
+def search(explicit: str | None = None, places: tuple[str, ...] | None = None) -> str:
+    """The configuration to use: the one named, or the first that is there."""
+    if explicit is not None:
+        return explicit
+    for place in places or (os.path.join(os.path.expanduser("~"), ".stratavault.conf"), "/etc/stratavault.conf", "/usr/local/etc/stratavault.conf"):
+        if files.exists(place):
+            return place
+    raise ConfigError("no configuration found")
+
+

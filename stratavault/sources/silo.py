@@ -231,12 +231,12 @@ class _Writer(DataSourceWriter):
                     hold, before = f"{final}.{attempt}.hold", -1
                     files.make_parent(hold)
                     system, inner = files.split(hold)
-                    out = system.open_output_stream(inner)
+                    out = system.open_output_stream(inner, compression=None)
                     message.staged.append((hold, final, before))
                     if files.exists(final):
                         if not self.append:
                             raise FileExistsError(f"silo {now} is there already")
-                        with system.open_input_stream(files.split(final)[1]) as old:
+                        with system.open_input_stream(files.split(final)[1], compression=None) as old:
                             before = 0
                             while block := old.read(_BLOCK):
                                 out.write(block)
