@@ -167,6 +167,35 @@ class Archive:
         for batch in batches:
             system.delete_dir(batch)
 
+    def snapshot(self, target: str, contents: DataFrame, time: int) -> DataFrame:
+        """Store what is missing of a folder's files (dirname, filename, content),
+        then its manifest, then a report that refers to the manifest; one row
+        (manifest, report).  Empty files are left out."""
+        rows = contents.where("octet_length(content) > 0").select("dirname", "filename", F.sha2("content", 256).alias("digest"), "content")
+        manifest = self._table(rows.select("dirname", "filename", "digest").withColumn("pos", F.monotonically_increasing_id()), "manifest")
+        missing = self._table(A.snapshot_missing(manifest, self.index()).select("digest"), "missing")
+        wanted = rows.join(missing, "digest", "left_semi").dropDuplicates(["digest"])
+        self._keep(lambda: self.store(wanted.select(F.xxhash64("digest").alias("seq"), F.col("content").alias("payload"))))
+        entries = manifest.select(F.format_string("%s/%s sha256digest=%s", "dirname", "filename", "digest").alias("line"))
+        listing = entries.agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").cast("binary").alias("payload"))  # the manifest is one object
+        key = self._keep(lambda: self.store(listing.where("length(payload) > 0").withColumn("seq", F.lit(0).cast("long")))).first()
+        if key is None:
+            return self.spark.createDataFrame([], "manifest string, report string")
+        nothing = manifest.limit(0).select("digest", F.lit("").alias("id"), F.lit("").alias("error"))
+        report = A.snapshot_report(target, key["id"], nothing, nothing, time)
+        body = report.select(F.lit(0).cast("long").alias("seq"), F.col("report").cast("binary").alias("payload"), F.lit(key["id"]).alias("refers_to"), F.lit("application/json").alias("content_type"))
+        self._keep(lambda: self.store(body, "metadata"))
+        self._drop()
+        return report.select(F.lit(key["id"]).alias("manifest"), "report")
+
+    def _keep(self, work):
+        """Run a command without losing this one's intermediates."""
+        drop, self._drop = self._drop, lambda: None
+        try:
+            return work()
+        finally:
+            self._drop = drop
+
     # --- commands that only read
 
     def info(self, as_json: bool = False) -> str:
@@ -176,6 +205,14 @@ class Archive:
     def dump_index(self, parts: list[str] | None = None, flags: int | None = None) -> DataFrame:
         return A.dump_index(self.index(), parts, flags).select(A.dump_line().alias("line"))
 
+    def visit(self, part: str, function) -> int:
+        """Call ``function(key, flags, silo, offset, cont)`` for the rows of an id
+        part until it returns something but 0, which is returned."""
+        for r in A.dump_index(self.index(), [part]).toLocalIterator():
+            if code := function(r["key"], r["flags"], r["silo"], r["offset"], r["cont"]):
+                return code
+        return 0
+
     def by_id(self, fragments: DataFrame) -> DataFrame:
         """(fragment) to (fragment, line): id and type of each record that matches."""
         return A.by_id_lines(A.by_id(self.index(), fragments), self.records())

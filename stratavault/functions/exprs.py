@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -88,7 +90,7 @@ def silo_path(number: Column, basename: str = "%08d.warc.gz", hold: bool = False
     level = sum((F.when(number >= 100**k, 1).otherwise(0) for k in range(1, 10)), F.lit(0))
     used = F.slice(F.array(*pairs), 10 - level, level)
     folder = F.concat(level.cast("string"), F.lit("/"), F.when(level > 0, F.array_join(used, "")).otherwise(""))
-    return F.concat(folder, F.format_string(basename.replace("%08u", "%08d") + (".hold" if hold else ""), number))
+    return F.concat(folder, F.format_string(re.sub(r"%(0?\d*)[ui]", r"%\1d", basename) + (".hold" if hold else ""), number))
 
 
 def parse_size(text: Column, base: Column | None = None) -> tuple[Column, Column]:

@@ -243,6 +243,7 @@ def record_problems(records: DataFrame, ignore_metadata_id: bool = False) -> Dat
         named &= F.col("warc_type") != "metadata"
     checks = F.array(
         F.when(F.col("error").isNotNull(), problem("unreadable record", F.col("error"), F.lit(None))),
+        F.when(F.col("end_offset") - F.col("offset") != F.col("header_gz_len") + F.col("body_gz_len"), problem("Bad GZIP length", F.col("body_gz_len"), F.col("end_offset") - F.col("offset") - F.col("header_gz_len"))),
         F.when(block.isNull(), problem("WARC-Block-Digest missing", block, sha))
         .when(~block.startswith("sha256:"), problem("WARC-Block-Digest is not sha256", block, sha))
         .when(block != F.concat(F.lit("sha256:"), sha), problem("WARC-Block-Digest difference", block, sha)),

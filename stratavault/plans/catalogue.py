@@ -53,16 +53,23 @@ def candidates(spark: SparkSession, d: str) -> DataFrame:
 
 _DOCS = "docs as (select doc_id as seq, text, sha256(text) as sha, cast(octet_length(encode(text)) as bigint) as length from documents where text is not null and text <> '')"
 _OBJ = _DOCS + ", obj as (select substr(sha, 1, 32) as id, min(seq) as seq, any_value(text) as text, any_value(sha) as sha, any_value(length) as length from docs group by sha)"
-_PARTS = _OBJ + f""", cut as (
-  select *, cast(ceil(length / {CAP}.0) as integer) as n, unnest(range(1, cast(ceil(length / {CAP}.0) as integer) + 1)) as number from obj
+
+
+def parts_sql(cap: int) -> str:
+    """Objects of the documents cut at ``cap`` bytes, as CTEs up to ``parts``."""
+    return _OBJ + f""", cut as (
+  select *, cast(ceil(length / {cap}.0) as integer) as n, unnest(range(1, cast(ceil(length / {cap}.0) as integer) + 1)) as number from obj
 ), body as (
-  select *, from_hex(substr(hex(encode(text)), cast(2 * {CAP} * (number - 1) + 1 as bigint), 2 * {CAP})) as body from cut
+  select *, from_hex(substr(hex(encode(text)), cast(2 * {cap} * (number - 1) + 1 as bigint), 2 * {cap})) as body from cut
 ), seg as (
   select *, case when number = 1 then id else substr(sha256(body), 1, 32) end as segment_id, cast(octet_length(body) as bigint) as segment_length,
     cast(case when n = 1 then 4 when number = 1 then 52 when number = n then 80 else 16 end as integer) as flags from body
 ), parts as (
   select *, coalesce(substr(lead(segment_id) over (partition by id order by number), 1, 8), '00000000') as cont from seg
 )"""
+
+
+_PARTS = parts_sql(CAP)
 _INDEX = _PARTS + f""", placed as (
   select *, cast(floor(seq / {PER_SILO}.0) as integer) as silo,
     cast(coalesce(sum(segment_length) over (partition by floor(seq / {PER_SILO}.0) order by seq, number rows between unbounded preceding and 1 preceding), 0) as bigint) as "offset" from parts
@@ -323,10 +330,23 @@ def q32(spark, d):
     return B.test_bytes(spark, 32 * 32)
 
 
-@query("q33_first_fit")
+_FIT = 15360
+
+
+@query("q33_first_fit", f"""with recursive {_OBJ}, o as (select seq, length, seq // 50000 as shard, row_number() over (partition by seq // 50000 order by seq) as n from obj),
+  f(shard, n, seq, length, silo, place, rooms) as (
+    select distinct shard, cast(0 as bigint), cast(0 as bigint), cast(0 as bigint), cast(0 as bigint), cast(0 as bigint), cast([] as bigint[]) from o
+    union all
+    select shard, n, seq, length, case when length <= {_FIT} and p is not null then p - 1 else len(rooms) end,
+      case when length <= {_FIT} and p is not null then {_FIT} - rooms[p] else 0 end,
+      case when length > {_FIT} then list_concat(rooms, list_concat(list_transform(range(1, cast(ceil(length / {_FIT}.0) as bigint)), lambda x: cast(0 as bigint)), [ceil(length / {_FIT}.0)::bigint * {_FIT} - length]))
+        when p is null then list_append(rooms, {_FIT} - length) else list_transform(rooms, lambda x, i: case when i = p then x - length else x end) end
+    from (select o.shard, o.n, o.seq, o.length, f.rooms, nullif(list_position(list_transform(f.rooms, lambda x: x >= o.length), true), 0) as p from f join o on o.shard = f.shard and o.n = f.n + 1)
+  ), g as (select *, unnest(range(1, cast(ceil(length / {_FIT}.0) as bigint) + 1)) as part from f where n > 0)
+  select shard, seq, cast(part as integer) as part, cast(silo + part - 1 as integer) as silo, cast(case when part = 1 then place else 0 end as bigint) as "offset", cast(least({_FIT}, length - (part - 1) * {_FIT}) as bigint) as length from g""")
 def q33(spark, d):
     objects = A.store_dedup(documents(spark, d)).select("seq", "length")
-    return B.first_fit(objects, 15360)
+    return B.first_fit(objects, _FIT)
 
 
 @query("q34_record_offsets", f'with {_INDEX} select id, cast(number as integer) as number, silo, "offset" from placed')
@@ -380,3 +400,5 @@ def q41(spark, d):
 
 
 FLAGSHIP = "q06_index_entries"
+
+from . import physical  # noqa: E402, F401  (adds its queries)
