@@ -73,7 +73,7 @@ class Quantiser:
         target = one.T.astype(np.float64) @ x + 1e-2 * self.books.reshape(m * k, d)
         return Quantiser(np.linalg.solve(normal, target).reshape(m, k, d))
 
-    def encode(self, x: np.ndarray, beam: int = 8, rows: int = 512) -> np.ndarray:
+    def encode(self, x: np.ndarray, beam: int = 4, rows: int = 512) -> np.ndarray:
         """Beam search: partial sums keep the ``beam`` least squared errors."""
         m, k, _ = self.books.shape
         out = np.zeros((len(x), m), np.uint8)
@@ -167,10 +167,10 @@ def _search(rows: DataFrame, queries: F.Column, k: int, books: int, words: int,
         parts: list[tuple] = []
         for at in range(0, len(q), 64):
             part = q[at : at + 64]
-            near = np.zeros((len(part), len(ids)), np.float32)
+            near = np.zeros((len(ids), len(part)), np.float32)
             for table_, code in zip(quantiser.value.lookup(part), codes):
-                near += table_[:, code]
-            best = np.argpartition(-near * ratios, most - 1, axis=1)[:, :most]
+                near += np.ascontiguousarray(table_.T)[code]
+            best = np.argpartition(np.ascontiguousarray((-near * ratios[:, None]).T), most - 1, axis=1)[:, :most]
             exact = np.einsum("qrd,qd->qr", x[best], part)
             own = uids[best] == q_uids[at : at + 64, None]
             order = np.lexsort((uids[best], ids[best], -exact, own), axis=1)[:, :k]
