@@ -28,18 +28,47 @@ import random
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import materialize, table, word_count
 
 _EPS = 1e-9
 
 
+def targets_of(sources: DataFrame, weights: tuple[float, ...], share: float, cap: float) -> DataFrame:
+    """Sources (source, size, documents) with their rank by code point (null
+    last), and their target: the water level times the weight, ``cap`` times the
+    size at most.
+
+    The table of sources is never collected.  Ranks are places within a range of
+    sources plus the counts of the ranges before it; the level rises from one
+    aggregate to the next until no more sources are full (sums are of integers,
+    so reruns agree)."""
+    ranged = sources.repartitionByRange(F.col("source").isNull(), "source").sortWithinPartitions(F.col("source").isNull(), "source")
+    ranged = materialize(ranged.withColumn("uid", F.monotonically_increasing_id()), "mix-ranged")
+    ranged = ranged.withColumns({"range": F.shiftright("uid", 33), "nth": F.col("uid").bitwiseAND(F.lit((1 << 33) - 1))})
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    starts = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    ranked = ranged.join(starts, "range").select("source", "size", "documents", (F.col("start") + F.col("nth")).cast("int").alias("rank"))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.col("rank") % len(weights) + 1)
+    ranked = materialize(ranked.withColumn("weight", weight), "mix-ranked")
+    total = ranked.agg(F.sum("size")).first()[0] or 0
+    level, full = 0.0, -1
+    while True:
+        over = F.lit(level) * F.col("weight") > cap * F.col("size")
+        count, held, open_ = ranked.agg(F.count_if(over), F.sum(F.when(over, F.col("size"))), F.sum(F.when(~over, F.col("weight")))).first()
+        if count == full or not open_:
+            break
+        full, level = count, (share * total - cap * (held or 0)) / open_
+    target = F.col("size") * cap if not open_ else F.least(F.col("size") * cap, F.lit(level) * F.col("weight"))
+    return ranked.select("source", "rank", "documents", F.col("size").alias("source_size"), target.cast("double").alias("target"))
+
+
 def water_fill(sizes: list[float], weights: list[float], budget: float, cap: float) -> list[float]:
     """Targets in proportion to ``weights`` that sum to ``budget``, none above
-    ``cap`` times its size; what is cut off is shared again by weight."""
+    ``cap`` times its size; what is cut off is shared again by weight.  For lists
+    of sources; ``targets_of`` is the same for a table of them."""
     targets = [0.0] * len(sizes)
     open_, left = set(range(len(sizes))), float(budget)
     while open_:
@@ -183,24 +212,17 @@ def mix_sources(
     Sources in code point order (null last) weigh ``weights`` in turn and share
     ``share`` times the corpus size; no target exceeds ``cap`` times its source.
     ``copies`` says how often the document is taken, ``taken`` is copies * size.
-    The driver gets one row a source, nothing else.
+    The driver gets a few sums, nothing else.
     """
-    spark = docs.sparkSession
     # rows that are equal here are one row with a count, so that each gets a number that reruns agree on
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
     sized = materialize(sized.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("equal")), "mix-sizes")
-    totals = [tuple(r) for r in sized.groupBy("source").agg(F.sum(F.col("size") * F.col("equal")), F.sum("equal")).collect()]
-    totals.sort(key=lambda r: (r[0] is None, r[0] or ""))
-    sizes = [r[1] for r in totals]
-    targets = water_fill(sizes, [weights[i % len(weights)] for i in range(len(totals))], share * sum(sizes), cap)
-    plan = []
-    for i, ((source, size, count), target) in enumerate(zip(totals, targets)):
-        ratio = target / size if size else 0.0
-        sure = min(math.floor(ratio + _EPS), math.floor(cap))
-        part = max(0.0, ratio - sure)
-        plan.append((source, i, int(size), float(target), sure, part if part > _EPS else 0.0, -(-int(count) // chunk)))
-    kind = "source string, rank int, source_size long, target double, sure int, part double, chunks long"
-    plan_df = spark.createDataFrame(plan, T._parse_datatype_string(kind))
+    sources = materialize(sized.groupBy("source").agg(F.sum(F.col("size") * F.col("equal")).alias("size"), F.sum("equal").alias("documents")), "mix-sources")
+    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    sure = F.least(F.floor(ratio + _EPS), F.lit(math.floor(cap))).cast("int")
+    plan_df = targets_of(sources, weights, share, cap).withColumn("sure", sure).withColumn("part", F.greatest(F.lit(0.0), ratio - F.col("sure")))
+    plan_df = plan_df.withColumn("part", F.when(F.col("part") > _EPS, F.col("part")).otherwise(0.0)).withColumn("chunks", F.ceil(F.col("documents") / chunk).cast("long"))
+    plan_df = materialize(plan_df.drop("documents"), "mix-plan")
     sized = numbered(sized)
     joined = sized.alias("d").join(plan_df.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
     parted = joined.where("part > 0")
@@ -210,7 +232,7 @@ def mix_sources(
     )
     done = sure_only
     held, flying = start.where("chunk = 0"), start.where("chunk > 0")
-    groups = max((p[6] for p in plan), default=1) - 1
+    groups = (plan_df.agg(F.max("chunks")).first()[0] or 1) - 1
     per = max(2, chunk // 2)
     while groups > 0:
         flown = materialize(flying.groupBy("rank", "chunk").applyInArrow(_fly(seed, False), _FLOWN), "mix-flight")
