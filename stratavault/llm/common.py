@@ -22,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``; where it is
-    unset (tests on one machine) a temporary folder takes its place."""
+    unset, a temporary folder will do on one machine; on a cluster it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: there is no folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="stratavault-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
