@@ -13,10 +13,13 @@ minhashes.  Two documents of similarity s miss each other with probability
    member is paired with the smallest member.
 3. Candidates are confirmed on their full shingle sets; links give components.
 4. Keys whose members lie in several components hold these together as a
-   family.  A family's members meet in pairs of bounded blocks, where exact
-   bounds on sizes and on shingle counts by bin leave few pairs across
-   components to confirm.  So every link between documents that share a key
-   counts, with no cap on groups.
+   family.  Within a family, shingles are put in one order, those of its first
+   member (what most members share) last; two sets as similar as asked have a
+   shingle in common among the first ``n - ceil(n * percent / 100) + 1`` of
+   each.  Members that share no such shingle with another component are done;
+   the others meet in pairs of bounded blocks, where exact bounds on sizes and on
+   shingle counts by bin leave few pairs across components to confirm.  So every
+   link between documents that share a key counts, with no cap on groups.
 
 Before an exchange, a task collapses members of the same key to the smallest
 one it has, so a group of near copies costs a task one entry a key.
@@ -266,6 +269,26 @@ def _sets(width: int):
     return run
 
 
+def first_shingles(s: np.ndarray, common: np.ndarray, percent: int) -> np.ndarray:
+    """The shingles of a sorted set that come first in its family's order, as
+    many as a set of that similarity can't all lack."""
+    rest = np.isin(s, common, assume_unique=True)
+    most = len(s) - (percent * len(s) + 99) // 100 + 1
+    return np.r_[s[~rest], s[rest]][:most]
+
+
+def _first(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [first_shingles(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8"), percent) for x, y in zip(batch.column(3), batch.column(4))]
+            of = np.repeat(np.arange(batch.num_rows), [len(x) for x in found])
+            h = np.concatenate(found) if found else np.zeros(0, np.uint64)
+            rows = pa.array(of)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), batch.column(2).take(rows), pa.array(h.view(np.int64))], names=["family", "rep", "component", "h"])
+
+    return run
+
+
 def _pack_block(t: pa.Table) -> pa.Table:
     """The members of a block in one row."""
     sets = t["shingles"].to_pylist()
@@ -378,6 +401,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows:
         least = materialize(mixed.groupBy(*key).agg(F.min("component").alias("a")), "near-least")
         family = components(mixed.join(least, key).select("a", F.col("component").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("family"))
         inside = materialize(again.select("rep", "component").join(family, "component"), "near-inside")
+        of = sets.dropDuplicates(["id"])
+        lead = inside.groupBy("family").agg(F.min("rep").alias("id")).join(of, "id").select("family", F.col("shingles").alias("common"))
+        whole = inside.join(of, F.col("rep") == F.col("id")).join(materialize(lead, "near-leads"), "family").select("family", "rep", "component", "shingles", "common")
+        firsts = materialize(whole.mapInArrow(_first(percent), "family long, rep long, component long, h long"), "near-firsts")
+        met = firsts.groupBy("family", "h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("family", "h")
+        met = firsts.join(materialize(met, "near-shared"), ["family", "h"], "left_semi").select("rep").distinct()
+        inside = materialize(inside.join(met, "rep", "left_semi"), "near-met")
         sizes = materialize(inside.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")), "near-sizes")
         dealt = inside.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         dealt = dealt.join(sets.dropDuplicates(["id"]), F.col("rep") == F.col("id")).select("family", "block", "blocks", "rep", "component", "shingles")

@@ -196,6 +196,41 @@ def test_op3(spark, tables):
     assert len(got) == len(docs)
 
 
+def test_similar_sets_share_a_first_shingle():
+    rng = np.random.default_rng(6)
+    for percent in (80, 70, 95):
+        close = 0
+        for _ in range(400):
+            base = np.unique(rng.integers(0, 2**63, rng.integers(1, 60), dtype=np.uint64))
+            other = np.unique(np.r_[base[rng.random(len(base)) > rng.choice([0.0, 0.1, 0.2])], rng.integers(0, 2**63, rng.integers(0, 8), dtype=np.uint64)])
+            lead = np.unique(np.r_[base[rng.random(len(base)) < 0.7], rng.integers(0, 2**63, 3, dtype=np.uint64)])
+            both = len(np.intersect1d(base, other))
+            if 100 * both >= percent * (len(base) + len(other) - both):
+                close += 1
+                assert len(np.intersect1d(minhash_dedup.first_shingles(base, lead, percent), minhash_dedup.first_shingles(other, lead, percent)))
+        assert close > 30
+
+
+def test_op3_families_of_one_template(spark):
+    """Documents that share 70 % of their text, in part with near copies: links
+    between members that aren't like the first one are found."""
+    rng = random.Random(9)
+    template = [f"t{i}" for i in range(140)]
+    rows = []
+    for i in range(120):
+        own = [f"o{i // 2 if i >= 60 else i}x{k}" for k in range(60)]
+        if i % 2:
+            own[rng.randrange(60)] = "other"
+        rows.append((1000 - i, " ".join(template + own)))
+    got = {r["doc_id"]: r["component_id"] for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=16).collect()}
+    sets = [shingles(t, 5) for _, t in rows]
+    of = union([(a, b) for a in range(120) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])], 120)
+    least = {}
+    for (d, _), c in zip(rows, of):
+        least[c] = min(least.get(c, d), d)
+    assert got == {d: least[c] for (d, _), c in zip(rows, of)} and len(set(got.values())) == 60
+
+
 def test_op3_misses_few_links_at_the_threshold():
     """Sets of similarity 0.8 that share no key, of 4,000 pairs; 2.1e-5 are expected to."""
     rng = np.random.default_rng(4)
