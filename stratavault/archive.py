@@ -78,7 +78,7 @@ class Archive:
             rows = known.where(F.when(F.col("there"), F.lit(True)).otherwise(F.raise_error(F.lit("Referenced (-r) ID does not exist")).cast("boolean"))).drop("there")
         ids = A.identify(rows, strict=True).select("seq", "id")
         new = A.store_dedup(rows, present, strict=True)
-        cap = max(1024, self.config.max_size // 4)
+        cap = self.config.segment_size or max(1024, self.config.max_size // 4)
         self._add(P.encode_records(P.record_headers(A.segments(new, cap), self.date)))
         return ids
 
@@ -113,7 +113,7 @@ class Archive:
             silos = self._table(placed.select("silo").distinct(), "silos")
             out = rows.join(placed, "uid").select("silo", F.col("uid").alias("nth"), "record")
             out = self._warcinfo(silos).unionByName(out)
-            out.repartition("silo").sortWithinPartitions("silo", "nth").select("silo", "record").write.format("silo").mode("append").option("basename", self.config.basename.replace("%08u", "%08d")).save(self.root)
+            P.clustered(out, "silo", "nth").select("silo", "record").write.format("silo").mode("append").option("basename", self.config.basename.replace("%08u", "%08d")).save(self.root)
             numbers = [r[0] for r in silos.collect()]  # one number a silo written
             self._append(P.reindex(self.records(silos=numbers)).drop("matched"))
         finally:
@@ -226,7 +226,7 @@ class Archive:
 
     def get(self, ids: DataFrame) -> DataFrame:
         """(pos, id) to what is found and whether it is intact."""
-        return P.get_objects(ids, self.index(), self.records(body=True))
+        return P.get_objects(ids, self.index(), self.records(), self.records(body=True))
 
     def bodies(self, ids: DataFrame, gzip: bool = False) -> DataFrame:
         """(pos, id) to (pos, id, number, body): the segments of each object in
@@ -258,7 +258,8 @@ class Archive:
             if file is not None:
                 file.close()
 
-        rows = self.bodies(ids.dropDuplicates(["id"]), gzip).select("id", "number", "body").repartition("id").sortWithinPartitions("id", "number")
+        rows = self.bodies(ids.dropDuplicates(["id"]), gzip).select("id", "number", "body")
+        rows = P.clustered(rows, "id", "number")
         rows.mapInArrow(write, rows.schema).count()
 
     def serve(self, requests: DataFrame) -> DataFrame:
@@ -280,4 +281,4 @@ class Archive:
         new = A.rebuild_headers(rows.withColumn("headers", A.proper_names(F.col("headers"))))
         header = X.serialize_header(F.col("new_id"), F.col("new_headers"))
         encoded = P.encode_records(new.select(F.col("silo").alias("seq"), F.col("offset").alias("number"), header.alias("header"), "body"))
-        encoded.repartition("seq").sortWithinPartitions("seq", "number").select(F.col("seq").cast("int").alias("silo"), "record").write.format("silo").mode("append").save(out)
+        P.clustered(encoded, "seq", "number").select(F.col("seq").cast("int").alias("silo"), "record").write.format("silo").mode("append").save(out)

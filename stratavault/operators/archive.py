@@ -6,10 +6,13 @@ a plan over DataFrames; nothing is collected."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from .physical import digest_objects
 
 
 def identify(payloads: DataFrame, strict: bool = False) -> DataFrame:
@@ -142,15 +145,11 @@ def filter_ids(candidates: DataFrame, index: DataFrame, mode: str = "missing", r
 def get_objects(parts: DataFrame) -> DataFrame:
     """Objects put together from their segments in order, and verified.
 
-    Bodies are gathered by object, whose size the archive's silos bound."""
-    whole = parts.groupBy("id").agg(
-        F.array_sort(F.collect_list(F.struct("number", "body"))).alias("list"), F.sum("segment_length").alias("total_length"),
-        F.count(F.lit(1)).alias("n_segments"), F.min_by("sha", "number").alias("payload_digest"), F.min_by("length", "number").alias("stated_length"),
-    )
-    body = F.unhex(F.array_join(F.transform("list", lambda x: F.hex(x["body"])), ""))
-    whole = whole.withColumn("digest", X.digest(body))
-    good = (F.col("digest") == F.col("payload_digest")) & (F.col("total_length") == F.col("stated_length"))
-    return whole.select("id", "n_segments", "total_length", "digest", good.alias("verified"))
+    Bodies stream past a running digest; no object is held in one row."""
+    stated = parts.groupBy("id").agg(F.min_by("sha", "number").alias("payload_digest"), F.min_by("length", "number").alias("stated_length"))
+    whole = digest_objects(parts.select("id", "number", "body", F.lit(None).alias("gz"))).join(stated, "id")
+    good = F.col("chained") & (F.col("digest") == F.col("payload_digest")) & (F.col("total_length") == F.col("stated_length"))
+    return whole.select("id", F.col("n_segments").cast("long").alias("n_segments"), "total_length", "digest", good.alias("verified"))
 
 
 def object_headers(parts: DataFrame) -> DataFrame:
@@ -169,14 +168,18 @@ def housekeep(base: DataFrame, delta: DataFrame) -> DataFrame:
     return base.unionByName(delta).distinct().repartitionByRange("key").sortWithinPartitions("key", "flags", "silo", "offset", "cont")
 
 
-def bucket_directory(index: DataFrame) -> DataFrame:
+def bucket_directory(index: DataFrame, each: int = 250_000) -> DataFrame:
     """For each bucket the least difference of a record's place and its
     predicted place.
 
     Places come from counts by key range: a window over each range plus the
-    records of the ranges below it, so no task sees the whole index."""
-    ranged = index.withColumn("span", F.substring("key", 1, 2))
-    counts = ranged.groupBy("span").agg(F.count(F.lit(1)).alias("n"))  # 256 rows at most
+    records of the ranges below it, so no task sees the whole index.  Ranges are
+    key prefixes, long enough for about ``each`` records (keys are digests, so
+    ranges are even)."""
+    n = index.count()
+    digits = min(6, max(2, math.ceil(math.log(max(1.0, n / each), 16))))
+    ranged = index.withColumn("span", F.substring("key", 1, digits))
+    counts = ranged.groupBy("span").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = counts.select("span", before.alias("before"), F.sum("n").over(Window.partitionBy(F.lit(1))).alias("records"))
     order = Window.partitionBy("span").orderBy("key", "flags", "silo", "offset", "cont")
@@ -243,7 +246,7 @@ def snapshot_changed(manifest: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def snapshot_report(target: str, mtree: str, changed: DataFrame, missing: DataFrame, time: int) -> DataFrame:
-    """The snapshot's JSON report, one row."""
+    """The snapshot's JSON report: one document, so one row."""
     def entries(rows: DataFrame, key: str, value: str) -> DataFrame:
         return rows.select(F.concat(F.lit('"'), F.col(key), F.lit('":"'), F.col(value), F.lit('"')).alias("e")).agg(F.array_join(F.array_sort(F.collect_list("e")), ",").alias("e"))
 
@@ -254,7 +257,9 @@ def snapshot_report(target: str, mtree: str, changed: DataFrame, missing: DataFr
 
 
 def backup_select(current: DataFrame, ledger: DataFrame, quota: int, now: float) -> DataFrame:
-    """Files by bytes changed, then age, while their running size keeps the quota."""
+    """Files by bytes changed, then age, while their running size keeps the quota.
+
+    One window orders all silos: a row a silo file of some gigabytes."""
     both = current.join(ledger, "fn", "full_outer").where(F.col("size").isNotNull())
     both = both.select("fn", "size", F.abs(F.col("size") - F.coalesce("last_sz", F.lit(0))).alias("changed"), (F.lit(now) - F.coalesce("last_tm", F.lit(0.0))).alias("age"))
     order = Window.orderBy(F.desc("changed"), F.desc("age"), "fn").rowsBetween(Window.unboundedPreceding, 0)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..sources import files
 from .archive import backup_select
+from .physical import clustered
 
 _LEDGER = "fn string, last_tm double, last_sz long"
 
@@ -99,7 +100,7 @@ def write(ciphers: DataFrame, out: str, secrets: Callable[[str], tuple[bytes, by
         if file is not None:
             yield close()
 
-    return ciphers.repartition("fn").sortWithinPartitions("fn", "at").mapInArrow(run, "fn string, length long, sha256 string, hmac string")
+    return clustered(ciphers, "fn", "at").mapInArrow(run, "fn string, length long, sha256 string, hmac string")
 
 
 def backup(spark: SparkSession, folder: str, out: str, ledger: str, quota: int, now: float, secrets: Callable[[str], tuple[bytes, bytes]]) -> DataFrame:

@@ -59,12 +59,13 @@ class _Fit:
             self.tree[i] = max(self.tree[2 * i], self.tree[2 * i + 1])
 
 
-def first_fit(objects: DataFrame, cap: int, shard: int = 50_000) -> DataFrame:
+def first_fit(objects: DataFrame, cap: int, shard: int | None = 50_000) -> DataFrame:
     """Placement in arrival order: an object that fits goes to the lowest silo
     with room, a larger one fills silos of its own and leaves its last one open.
 
     Placement is a fold; it runs for each shard of ``shard`` arrivals, and silo
-    numbers are (shard, silo)."""
+    numbers are (shard, silo).  Without ``shard`` there is one fold over all
+    arrivals, in one task."""
     def fold(t: pa.Table) -> pa.Table:
         t = t.sort_by("seq")
         fit, out = _Fit(cap), []
@@ -77,15 +78,13 @@ def first_fit(objects: DataFrame, cap: int, shard: int = 50_000) -> DataFrame:
             while length > 0:
                 part += 1
                 fit_now = min(cap, length)
-                if fit.used == fit.size:
-                    fit.tree[1] = max(fit.tree[1], 0)
                 silo, at = _fresh(fit, fit_now)
                 out.append((seq, part, silo, at, fit_now))
                 length -= fit_now
         columns = list(zip(*out))
         return pa.table({"shard": pa.array([t["shard"][0].as_py()] * len(out), pa.int64()), "seq": pa.array(columns[0], pa.int64()), "part": pa.array(columns[1], pa.int32()), "silo": pa.array(columns[2], pa.int32()), "offset": pa.array(columns[3], pa.int64()), "length": pa.array(columns[4], pa.int64())})
 
-    rows = objects.select("seq", "length", F.floor(F.col("seq") / shard).alias("shard"))
+    rows = objects.select("seq", "length", (F.floor(F.col("seq") / shard) if shard else F.lit(0).cast("long")).alias("shard"))
     return rows.groupBy("shard").applyInArrow(fold, "shard long, seq long, part int, silo int, offset long, length long")
 
 

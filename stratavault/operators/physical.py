@@ -129,6 +129,15 @@ def out_of_order(index: DataFrame) -> DataFrame:
 
 # --- objects ----------------------------------------------------------------------------
 
+def clustered(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """Rows of a key in one partition, one after another, in order.
+
+    The exchange is by a hash of the key, which no join below has done: one by
+    the key itself would be dropped as already there, and adaptive execution
+    could then read that join's shuffle locally and take a key apart."""
+    return rows.repartition(F.xxhash64(key)).sortWithinPartitions(key, order)
+
+
 _OBJECT = "id string, n_segments int, chained boolean, total_length long, gz_length long, digest string, crc long"
 
 
@@ -166,7 +175,7 @@ def digest_objects(parts: DataFrame) -> DataFrame:
             yield flush()
 
     rows = parts.select("id", F.col("number").cast("long").alias("number"), F.col("body").cast("binary").alias("body"), F.col("gz").cast("long").alias("gz"))
-    return rows.repartition("id").sortWithinPartitions("id", "number").mapInArrow(run, _OBJECT)
+    return clustered(rows, "id", "number").mapInArrow(run, _OBJECT)
 
 
 def locate(ids: DataFrame, index: DataFrame, records: DataFrame) -> DataFrame:
@@ -187,21 +196,20 @@ def locate(ids: DataFrame, index: DataFrame, records: DataFrame) -> DataFrame:
     return out.withColumn("problem", problem)
 
 
-def get_objects(ids: DataFrame, index: DataFrame, records: DataFrame) -> DataFrame:
+def get_objects(ids: DataFrame, index: DataFrame, heads: DataFrame, records: DataFrame) -> DataFrame:
     """(pos, id) to what a retrieval finds: pos, id, n_segments, total_length,
     digest, content_type, verified, problem.
 
-    The index gives the first record by (silo, offset); the other segments are
-    those that name it as their origin.  Verified: the payload digest, or else
+    ``heads`` are the records without bodies, ``records`` those with them; each
+    is read once.  The index gives the first record by (silo, offset); the other
+    segments are those that name it as their origin.  Verified: the payload digest, or else
     the block digest, and the total length, or else the content length, are those
     of the bodies, and the segments are numbered without a gap."""
-    found = locate(ids, index, records)
-    heads = found.where("problem is null").select(F.lower("id").alias("id"), "silo", "offset").distinct()
-    bodies = records.select("silo", "offset", "body", "body_gz_len", "segment_number", "segment_origin_id", "segment_total_length", "record_id")
-    first = heads.join(bodies, ["silo", "offset"]).select("id", F.lit(1).alias("number"), "body", F.col("body_gz_len").alias("gz"), "segment_total_length")
-    more = bodies.where(F.col("segment_number").try_cast("long") > 1).withColumn("id", F.lower(X.bare_id(F.col("segment_origin_id"))))
-    more = more.join(heads.select("id"), "id", "left_semi").select("id", F.col("segment_number").try_cast("int").alias("number"), "body", F.col("body_gz_len").alias("gz"), "segment_total_length")
-    parts = first.unionByName(more)
+    found = locate(ids, index, heads)
+    first = found.where("problem is null").select(F.lower("id").alias("id"), F.col("silo").alias("at_silo"), F.col("offset").alias("at")).distinct()
+    number = F.coalesce(F.col("segment_number").try_cast("int"), F.lit(1))
+    bodies = records.select(origin_of(F.col("record_id"), F.col("segment_number"), F.col("segment_origin_id")).alias("id"), number.alias("number"), "silo", "offset", "body", F.col("body_gz_len").alias("gz"), "segment_total_length")
+    parts = bodies.join(first, "id").where("number > 1 or silo = at_silo and offset = at").select("id", "number", "body", "gz", "segment_total_length")
     totals = parts.groupBy("id").agg(F.max("segment_total_length").alias("stated_total"))
     whole = digest_objects(parts).join(totals, "id")
     stated = F.coalesce("payload_digest", "block_digest") == F.concat(F.lit("sha256:"), "digest")

@@ -17,9 +17,9 @@ from ..streaming import ingest
 from ..streaming import snapshot as S
 from . import catalogue as C
 
-MAX_SIZE = 65536
+MAX_SIZE, SEGMENT = 1 << 18, 1 << 14
 DATE = "2024-01-01T00:00:00Z"
-_PARTS = C.parts_sql(MAX_SIZE // 4)
+_PARTS = C.parts_sql(SEGMENT)
 _built: dict[tuple[str, str], Archive] = {}
 
 
@@ -28,7 +28,7 @@ def archive(spark: SparkSession, d: str) -> Archive:
     shared folder, once a session and folder."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _built:
-        made = Archive(spark, ArchiveConfig(prefix=X.PREFIX, directory=new_folder(spark, "archive") + "/", max_size=MAX_SIZE), DATE)
+        made = Archive(spark, ArchiveConfig(prefix=X.PREFIX, directory=new_folder(spark, "archive") + "/", max_size=MAX_SIZE, segment_size=SEGMENT), DATE)
         made.store(C.documents(spark, d).where("octet_length(payload) > 0").select("seq", "payload", "content_type"))
         made.housekeeping()
         made.store(labels(spark, d), "metadata")
@@ -131,7 +131,7 @@ def q51(spark, d):
     a = archive(spark, d)
     out = new_folder(spark, "rebuilt")
     a.rebuild(out)
-    new = Archive(spark, ArchiveConfig(prefix=X.PREFIX, directory=out + "/", max_size=MAX_SIZE), DATE)
+    new = Archive(spark, ArchiveConfig(prefix=X.PREFIX, directory=out + "/", max_size=MAX_SIZE, segment_size=SEGMENT), DATE)
     columns = ["silo", "record_id", "warc_type", "warc_date", "content_type", "content_length", "block_digest", "payload_digest", "refers_to", "segment_number", "segment_origin_id", "segment_total_length", F.sha2("body", 256).alias("sha")]
     old, now = (x.records(body=True).where("warc_type <> 'warcinfo'").select(*columns) for x in (a, new))
     gone = old.unionByName(now).groupBy(*old.columns).agg(F.count(F.lit(1)).alias("n")).where("n <> 2").agg(F.count(F.lit(1)).alias("changed"))
@@ -261,7 +261,7 @@ def q63(spark, d):
 
 
 def _other(spark: SparkSession, label: str) -> Archive:
-    return Archive(spark, ArchiveConfig(prefix=X.PREFIX, directory=new_folder(spark, label) + "/", max_size=MAX_SIZE), DATE)
+    return Archive(spark, ArchiveConfig(prefix=X.PREFIX, directory=new_folder(spark, label) + "/", max_size=MAX_SIZE, segment_size=SEGMENT), DATE)
 
 
 @C.query("q64_stream_store", f"with {_PARTS} select substr(segment_id, 1, 24) as key, flags, cont from parts")

@@ -67,6 +67,7 @@ class ArchiveConfig:
     sort_size: int = 10 * 1024**2
     resource_types: tuple[str, ...] = ("*",)
     metadata_types: tuple[str, ...] = ("*",)
+    segment_size: int | None = None  # bytes of an object's segment; a fourth of a silo if unset
     title: str = "Archive"
     warcinfo: tuple[tuple[str, str], ...] = ()
 

@@ -21,6 +21,11 @@ def exists(uri: str) -> bool:
     return system.get_file_info(path).type != fs.FileType.NotFound
 
 
+def size(uri: str) -> int:
+    system, path = split(uri)
+    return system.get_file_info(path).size or 0
+
+
 def listed(uri: str, suffix: str) -> list[tuple[str, int, float]]:
     """(path, size, time) of the files below a folder whose names end so, sorted; none if it is missing."""
     system, path = split(uri)

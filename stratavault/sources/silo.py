@@ -11,7 +11,8 @@ body, and the record's end.  Reading options:
 
 A folder with level folders (``0/``, ``1/``, ...) is read like an archive: up to
 the first folder of a hundred that is missing.  One silo is one partition; its
-size is bounded by the archive's configuration.  A file is read in blocks, and a
+size is bounded by the archive's configuration, and small ones share a
+partition.  A file is read in blocks, and a
 task holds one record at a time.
 
 Writing takes rows (silo, record), or (record_id, headers, body), that come
@@ -68,6 +69,8 @@ def parse_header(text: str) -> tuple[str | None, dict[str, str], str | None]:
 
 
 _BLOCK = 1 << 20
+#: Bytes of silos in one partition, if there is more than one.
+_GROUP = 1 << 26
 
 
 class _Stream:
@@ -192,12 +195,20 @@ class _Reader(DataSourceReader):
         if "silo" in self.options:
             wanted = {int(x) for x in self.options["silo"].split(",") if x}
             found = [p for p in found if silo_number(p) in wanted]
-        return [InputPartition(x) for x in found] or [InputPartition(None)]
+        groups, total = [[]], 0  # small silos share a partition; there are 32 partitions at least, if as many silos
+        for path in found:
+            size = files.size(path)
+            if groups[-1] and (total + size > _GROUP or len(groups[-1]) * 32 >= len(found)):
+                groups.append([])
+                total = 0
+            groups[-1].append(path)
+            total += size
+        return [InputPartition(x) for x in groups]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        if partition.value is not None:
-            on = lambda name: self.options.get(name, "false") == "true"
-            yield from read_silo(partition.value, on("body"), on("lenient"), on("raw"), int(self.options.get("offset", 0)))
+        on = lambda name: self.options.get(name, "false") == "true"
+        for path in partition.value:
+            yield from read_silo(path, on("body"), on("lenient"), on("raw"), int(self.options.get("offset", 0)))
 
 
 def encode(record_id: str, headers: dict[str, str], body: bytes) -> bytes:
