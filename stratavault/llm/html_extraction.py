@@ -247,12 +247,15 @@ def score(block: Block) -> float:
 #: strongest outweighs a block's own costs and its neighbours.
 _HOLD = (0.8, 1.2, 3.2)
 _BESIDE, _NEXT = 0.4, 0.15
+#: The first of these where the root is marked: less than what a link costs.
+_LOOSE = 1.6
 
 
-def graph(blocks: list[Block]) -> tuple[list[float], list[float], list[tuple[int, int, float]]]:
+def graph(blocks: list[Block], root: float = 0.0) -> tuple[list[float], list[float], list[tuple[int, int, float]]]:
     """Capacities to source and sink of all nodes, blocks first, and the edges.
 
-    Of the elements, those that hold blocks or bear a mark are nodes, and the root."""
+    Of the elements, those that hold blocks or bear a mark are nodes, and the
+    root, whose own mark is ``root``.  Nodes keep their places, so blocks make one graph."""
     value = [score(b) for b in blocks]
     edges: list[tuple[int, int, float]] = []
     made: list[_Node] = []
@@ -260,13 +263,14 @@ def graph(blocks: list[Block]) -> tuple[list[float], list[float], list[tuple[int
     def place(node: _Node) -> int:
         if node.place < 0:
             node.place = len(value)
-            value.append(node.mark)
+            value.append(node.mark if node.up is not None else root)
             made.append(node)
         return node.place
 
     seen = 0
+    hold, tie = (_HOLD, (0.8, 2.0, _SURE)) if not root else ((_LOOSE, *_HOLD[1:]), (2.0, 2.0, _SURE))
     for i, block in enumerate(blocks):
-        edges.append((i, place(block.node), _HOLD[block.node.grip]))
+        edges.append((i, place(block.node), hold[block.node.grip]))
         if i:
             edges.append((i - 1, i, _BESIDE if block.node.up is blocks[i - 1].node.up else _NEXT))
     while seen < len(made):
@@ -280,22 +284,29 @@ def graph(blocks: list[Block]) -> tuple[list[float], list[float], list[tuple[int
             at = place(up)
             for x in passed:
                 x.place = at  # plain elements on the way are one with the next node
-            edges.append((node.place, at, 0.5 if node.mark else (0.8, 2.0, _SURE)[node.grip]))
+            edges.append((node.place, at, 0.5 if node.mark else tie[node.grip]))
     return [max(0.0, v) for v in value], [max(0.0, -v) for v in value], edges
 
 
-def label(blocks: list[Block]) -> list[bool]:
+def label(blocks: list[Block], root: float = 0.0) -> list[bool]:
     """Content or not, by the minimum cut."""
-    source, sink, edges = graph(blocks)
+    source, sink, edges = graph(blocks, root)
     return min_cut(source, sink, edges)[: len(blocks)]
 
 
 def extract(page: str | None) -> str:
-    """The main text of a page, one line a block."""
+    """The main text of a page, one line a block.
+
+    Where the cut leaves nothing, the page is cut again with its root marked as
+    content: then short texts count that no other mark or link speaks against."""
     if not page:
         return ""
     blocks = split_blocks(page)
-    return "\n".join(b.text for b, keep in zip(blocks, label(blocks)) if keep)
+    kept = label(blocks)
+    if blocks and not any(kept):
+        blocks = split_blocks(page)
+        kept = label(blocks, _SURE)
+    return "\n".join(b.text for b, keep in zip(blocks, kept) if keep)
 
 
 def extract_text(pages: DataFrame, keep: list[str], html: str = "html") -> DataFrame:

@@ -111,6 +111,9 @@ PAGES = [  # (page, its main text): {p} is a paragraph
     ("<article><p>{p}</p><aside><p>{p}</p></aside></article><div class=ad-slot>{p}</div>", "{p}"),
     ("<form id=aspnetForm><article><p>{p}</p></article><label>Name</label><input></form>", "{p}"),
     ("<article>a<math><mi>x</mi>=2</math></article>", "ax=2"),
+    ("<html><body><p>Hello world.</p></body></html>", "Hello world."),
+    ("<div><h1>Tiny</h1><p>One word</p></div><ul><li><a href=a>Home</a><li><a href=b>News</a></ul><footer>me</footer>", "Tiny\nOne word"),
+    ("<ul><li><a href=a>Home</a><li><a href=b>News</a></ul>", ""),
     ("<div><p>{p}</p><p>Short one</p><p>{p}</p></div><div><a href=a>Other page</a></div>", "{p}\nShort one\n{p}"),
 ]
 
