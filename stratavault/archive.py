@@ -43,7 +43,8 @@ class Archive:
 
     def index(self) -> DataFrame:
         """Sorted rows and the appendix together."""
-        parts = [self.spark.read.schema(KEY).parquet(p) for p in (f"{self.root}/index/sorted", f"{self.root}/index/appendix/*") if self._some(p)]
+        base = "sorted" if files.exists(f"{self.root}/index/sorted") else "previous"  # while housekeeping moves them
+        parts = [self.spark.read.schema(KEY).parquet(p) for p in (f"{self.root}/index/{base}", f"{self.root}/index/appendix/*") if self._some(p)]
         return A.union_on_read(*parts) if parts else self.spark.createDataFrame([], KEY)
 
     def _some(self, path: str) -> bool:
@@ -149,23 +150,27 @@ class Archive:
     def housekeeping(self) -> None:
         """Merge the appendix into the sorted index.
 
-        The merged table is written beside the old one and then takes its place;
-        batches that were merged go after that, and meeting one twice adds nothing."""
-        batches = [p for p in {p.rsplit("/", 1)[0] for p, *_ in files.listed(f"{self.root}/index/appendix", ".parquet")}]
-        merged = f"{self.root}/index/merged"
-        system, path = files.split(merged)
-        if files.exists(merged):
-            system.delete_dir(path)
+        The merged table is written beside the old one, which moves out of the way
+        and goes last, after the batches that were merged; meeting one of those
+        twice adds nothing.  A run that was broken off is put right by the next."""
+        system, root = files.split(f"{self.root}/index")
+        there = lambda name: files.exists(f"{self.root}/index/{name}")
+        if there("previous"):  # broken off between the moves, or before the end
+            system.delete_dir(f"{root}/previous") if there("sorted") else system.move(f"{root}/previous", f"{root}/sorted")
+        if there("merged"):
+            system.delete_dir(f"{root}/merged")
+        batches = sorted({p.rsplit("/", 1)[0] for p, *_ in files.listed(f"{self.root}/index/appendix", ".parquet")})
         empty = self.spark.createDataFrame([], KEY)
         base = self.spark.read.schema(KEY).parquet(f"{self.root}/index/sorted") if self._some(f"{self.root}/index/sorted") else empty
         delta = self.spark.read.schema(KEY).parquet(*batches) if batches else empty
-        A.housekeep(base, delta).write.parquet(merged)
-        _, old = files.split(f"{self.root}/index/sorted")
-        if files.exists(f"{self.root}/index/sorted"):
-            system.delete_dir(old)
-        system.move(path, old)
+        A.housekeep(base, delta).write.parquet(f"{self.root}/index/merged")
+        if there("sorted"):
+            system.move(f"{root}/sorted", f"{root}/previous")
+        system.move(f"{root}/merged", f"{root}/sorted")
         for batch in batches:
             system.delete_dir(batch)
+        if there("previous"):
+            system.delete_dir(f"{root}/previous")
 
     def snapshot(self, target: str, contents: DataFrame, time: int) -> DataFrame:
         """Store what is missing of a folder's files (dirname, filename, content),

@@ -113,6 +113,9 @@ def test_commands(spark, tmp_path):
     a.housekeeping()
     a.housekeeping()
     assert sorted(map(tuple, a.index().collect())) == before
+    os.rename(tmp_path / "index" / "sorted", tmp_path / "index" / "previous")  # as if broken off
+    a.housekeeping()
+    assert sorted(map(tuple, a.index().collect())) == before and sorted(os.listdir(tmp_path / "index")) in (["sorted"], ["appendix", "sorted"])
     seen = []
     assert a.visit("", lambda *row: seen.append(row) or len(seen) == 2) is True and len(seen) == 2
     assert a.info() == "id_size: 32" and '"id_size": 32' in a.info(True)
