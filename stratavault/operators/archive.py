@@ -91,18 +91,29 @@ def dump_line() -> Column:
     return F.format_string("%s 0x%08x %8d %12d %s", "key", "flags", "silo", "offset", "cont")
 
 
+#: Fragments of so many digits or fewer count as short.
+SHORT = 3
+
+
 def by_id(index: DataFrame, fragments: DataFrame) -> DataFrame:
     """Index rows whose key starts with a fragment, for fragments of any length.
 
     A key has 24 digits, so longer fragments are cut; an empty one finds all.
     Fragments that aren't hexadecimal are an error.  There is one equi-join for
-    each length that occurs, 25 at most."""
+    each length that occurs, 25 at most.  A short fragment finds a large share of
+    the index, so its matches are spread over as many tasks as a shuffle has."""
     bare = F.when(F.lower(F.substring("fragment", 1, len(X.PREFIX))) == X.PREFIX, F.substr("fragment", F.lit(len(X.PREFIX) + 1))).otherwise(F.col("fragment"))
     wanted = fragments.select("fragment", F.lower(F.substring(F.when(bare.rlike("^[0-9A-Fa-f]*$"), bare).otherwise(F.raise_error(F.lit("invalid id fragment"))), 1, 24)).alias("start"))
     lengths = sorted(r[0] for r in wanted.select(F.length("start").alias("n")).distinct().where("n is not null").collect())
-    found = None
+    spread, found = max(1, int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))), None
     for n in lengths:
-        some = index.withColumn("start", F.substring("key", 1, n)).join(wanted.where(F.length("start") == n), "start").drop("start")
+        keys, asked = index.withColumn("start", F.substring("key", 1, n)), wanted.where(F.length("start") == n)
+        on = ["start"]
+        if n <= SHORT:
+            keys = keys.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(spread)))
+            asked = asked.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long"))))
+            on = ["start", "salt"]
+        some = keys.join(asked, on).drop(*on)
         found = some if found is None else found.unionByName(some)
     found = index.join(wanted, F.lit(False)) if found is None else found
     return found.select("fragment", "key", "flags", *[c for c in ("silo", "offset") if c in index.columns])

@@ -11,7 +11,7 @@ from ..operators import archive as A
 from ..operators import backup as K
 from ..operators import physical as P
 from ..sources import text as T
-from ..sources.config import ArchiveConfig
+from ..sources.config import ArchiveConfig, as_table
 from ..sources.shared import new_folder
 from ..streaming import ingest
 from ..streaming import snapshot as S
@@ -282,3 +282,37 @@ def q65(spark, d):
     made.snapshot("pages", rows, 1_700_000_000)
     heads = made.index().where(X.has_flag(F.col("flags"), X.RESOURCE))
     return heads.select("key")
+
+
+@C.query("q66_folder_listing", """select 'sub/f=' || item_id as dirname, sha256(text || chr(10)) as digest from benchmark where text is not null and item_id is not null and item_id <> 1""")
+def q66(spark, d):
+    out = new_folder(spark, "folder")
+    rows = C._t(spark, d, "benchmark").where("text is not null and item_id is not null").select(F.col("item_id").alias("f"), "text")
+    rows.repartition("f").write.partitionBy("f").text(f"{out}/sub")
+    return T.listing(spark, out, "^sub/f=1/").select("dirname", "digest")
+
+
+@C.query("q67_config_table", """select r_name as section, cast(row_number() over (partition by r_regionkey order by n_nationkey) - 1 as integer) as pos, 'nation' || n_nationkey as name, case when n_nationkey % 2 = 0 then n_name end as arg from nation join region on n_regionkey = r_regionkey""")
+def q67(spark, d):
+    rows = C._t(spark, d, "nation").join(C._t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).orderBy("r_regionkey", "n_nationkey")
+    text, section = "# nations by region\n", None
+    for r in rows.select("r_name", "n_nationkey", "n_name").toLocalIterator():  # a configuration is one text; there are 25 nations
+        text += "" if r["r_name"] == section else f"{r['r_name']}:\n"
+        section = r["r_name"]
+        text += f"\tnation{r['n_nationkey']}" + (f" {r['n_name']}  # even\n" if r["n_nationkey"] % 2 == 0 else "\n")
+    return as_table(spark, text)
+
+
+@C.query("q68_files_sent", f"""select doc_id as seq, substr(sha256(text), 1, {X.ID_SIZE}) as id from documents where text <> '' and doc_id % 4 = 2""")
+def q68(spark, d):
+    rows = C._t(spark, d, "documents").where("text is not null")
+    sent = rows.select(F.col("doc_id").cast("string").alias("stream"), T.frame((F.col("doc_id") % 4).cast("int"), F.col("text").cast("binary")).alias("content"))
+    return S.files_sent(T.frames(sent)).select(F.col("stream").cast("long").alias("seq"), X.ident(F.col("payload")).alias("id"))
+
+
+@C.query("q69_line_assembly", r"""with l as (select doc_id, list_filter(regexp_split_to_array(replace(text, ' ', case when doc_id % 2 = 0 then chr(13) else chr(13) || chr(10) end), '[\r\n]'), lambda x: x <> '') as lines from documents where text is not null)
+  select doc_id, len(lines) as n_lines, sha256(array_to_string(lines, '|')) as digest from l""")
+def q69(spark, d):
+    ends = F.when(F.col("doc_id") % 2 == 0, "\r").otherwise("\r\n")
+    rows = C._t(spark, d, "documents").where("text is not null").select("doc_id", T.assemble(F.replace("text", F.lit(" "), ends)).alias("lines"))
+    return rows.select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.sha2(F.array_join("lines", "|"), 256).alias("digest"))

@@ -93,12 +93,14 @@ def manifests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def listing(spark: SparkSession, folder: str, exclude: str | None = None) -> DataFrame:
-    """A manifest made from the files below a folder; those whose name matches
-    ``exclude`` and empty ones are left out."""
+    """A manifest made from the files below a folder, named as they lie in it;
+    empty ones and those whose path in the folder matches ``exclude`` are left out."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).where("length > 0")
-    name, where = F.regexp_extract("path", "[^/]*$", 0), F.regexp_replace("path", "/[^/]*$", "")
-    rows = rows.select(F.lit(folder).alias("target"), where.alias("dirname"), name.alias("filename"), F.sha2("content", 256).alias("digest"))
-    return rows if exclude is None else rows.where(~F.col("filename").rlike(exclude))
+    top = files.split(folder)[1].rstrip("/") + "/"
+    inner = F.substr("path", F.instr("path", F.lit(top)) + F.lit(len(top)))
+    rows = rows.withColumn("inner", inner)
+    rows = rows if exclude is None else rows.where(~F.col("inner").rlike(exclude))
+    return rows.select(F.lit(folder).alias("target"), F.regexp_replace("inner", "/?[^/]*$", "").alias("dirname"), F.regexp_extract("inner", "[^/]*$", 0).alias("filename"), F.sha2("content", 256).alias("digest"))
 
 
 # --- frames -------------------------------------------------------------------------------

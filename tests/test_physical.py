@@ -1,3 +1,4 @@
+import hashlib
 import os
 import random
 import struct
@@ -304,3 +305,22 @@ def test_snapshot_of_a_folder(spark, tmp_path):
     assert stored == 4 and first["manifest"] in first["report"] and '"time":5' in first["report"]
     a.snapshot("home", rows, 5)
     assert a.index().where("flags in (4, 8)").count() == stored  # nothing new
+
+
+def test_listing_names_files_as_they_lie(spark, tmp_path):
+    (tmp_path / "a" / "b c").mkdir(parents=True)
+    for name, text in (("a/one", b"1"), ("a/b c/two.txt", b"22"), ("a/empty", b""), ("top", b"3")):
+        (tmp_path / name).write_bytes(text)
+    found = {(r.dirname, r.filename, r.digest) for r in T.listing(spark, str(tmp_path)).collect()}
+    wanted = {("a", "one", b"1"), ("a/b c", "two.txt", b"22"), ("", "top", b"3")}
+    assert found == {(d, n, hashlib.sha256(t).hexdigest()) for d, n, t in wanted}
+    left = {r.filename for r in T.listing(spark, str(tmp_path), r"^a/b c/|^top$").collect()}
+    assert left == {"one"}
+
+
+def test_short_fragments_find_all_their_keys(spark):
+    keys = [f"{n:03x}".ljust(24, "0") for n in range(0, 4096, 5)]
+    index = spark.createDataFrame([(k, 4, i, i) for i, k in enumerate(keys)], "key string, flags int, silo int, offset long")
+    fragments = ["", "A", "a", "a", "0a", "FFF", "0050"]
+    found = A.by_id(index, spark.createDataFrame([(x,) for x in fragments], "fragment string"))
+    assert sorted((r.fragment, r.key) for r in found.collect()) == sorted((x, k) for x in fragments for k in keys if k.startswith(x.lower()))
