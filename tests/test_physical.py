@@ -324,3 +324,26 @@ def test_short_fragments_find_all_their_keys(spark):
     fragments = ["", "A", "a", "a", "0a", "FFF", "0050"]
     found = A.by_id(index, spark.createDataFrame([(x,) for x in fragments], "fragment string"))
     assert sorted((r.fragment, r.key) for r in found.collect()) == sorted((x, k) for x in fragments for k in keys if k.startswith(x.lower()))
+
+
+def test_reading_holds_some_megabytes(spark, tmp_path):
+    """A reader's batches end by bytes, whatever the number of records in a partition."""
+    rng = random.Random(5)
+    bodies = [rng.randbytes(20_000) for _ in range(600)] + [b"x" * (5 << 20)]
+    with open(tmp_path / "00000000.warc.gz", "wb") as out:
+        for i, body in enumerate(bodies):
+            out.write(silo.encode(f"{i:032x}", {"WARC-Type": "resource"}, body))
+    for options in ({"body": "true"}, {"raw": "true"}):
+        reader = silo._Reader({"path": str(tmp_path)} | options)
+        batches = list(reader.read(reader.partitions()[0]))
+        sizes = [sum(len(x.as_py() or b"") for name in ("body", "body_gz") for x in b.column(b.schema.names.index(name))) for b in batches]
+        assert sum(b.num_rows for b in batches) == 601 and max(b.num_rows for b in batches) <= 1000
+        assert max(sizes[:-1]) < 5 << 20 and len(sizes) > 2  # all but the record that is larger by itself
+    back = spark.read.format("silo").option("body", "true").load(str(tmp_path)).select("record_id", "body", "headers").collect()
+    assert sorted((int(r[0], 16), bytes(r[1])) for r in back) == list(enumerate(bodies)) and all(r[2] == {"warc-type": "resource"} for r in back)
+
+
+def test_packed_objects(spark):
+    rows = [("a", 1, bytearray(B.member(b"one"))), ("a", 2, bytearray(B.member(b"two" * 1000))), ("b", 1, bytearray(B.member(b"")))]
+    got = {r["id"]: r["digest"] for r in P.digest_objects(spark.createDataFrame(rows, "id string, number int, body binary").withColumn("gz", F.lit(0)), packed=True).collect()}
+    assert got == {"a": hashlib.sha256(b"one" + b"two" * 1000).hexdigest(), "b": hashlib.sha256(b"").hexdigest()}
