@@ -347,3 +347,34 @@ def test_packed_objects(spark):
     rows = [("a", 1, bytearray(B.member(b"one"))), ("a", 2, bytearray(B.member(b"two" * 1000))), ("b", 1, bytearray(B.member(b"")))]
     got = {r["id"]: r["digest"] for r in P.digest_objects(spark.createDataFrame(rows, "id string, number int, body binary").withColumn("gz", F.lit(0)), packed=True).collect()}
     assert got == {"a": hashlib.sha256(b"one" + b"two" * 1000).hexdigest(), "b": hashlib.sha256(b"").hexdigest()}
+
+
+def test_store_moves_payloads_once(spark):
+    """Before encoding there is one window, which drops copies before its exchange; cutting needs none."""
+    rows = spark.createDataFrame([(i, bytearray(b"%d" % (i % 7) * 40)) for i in range(50)], PAYLOAD).withColumns({"warc_type": F.lit("resource"), "content_type": F.lit("text/plain")})
+    key = hashlib.sha256(b"3" * 40).hexdigest()[:24]
+    present = spark.createDataFrame([(key, X.RESOURCE, 0, 0, "00000000"), (hashlib.sha256(b"4" * 40).hexdigest()[:24], X.WARCINFO, 0, 0, "00000000")], "key string, flags int, silo int, offset long, cont string")
+    cut = A.segments(A.store_dedup(rows, present), 16)
+    plan = cut._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Window [") == 1 and "Partial" in plan.split("Window [")[1]
+    got = {(r["seq"], r["number"]): (bytes(r["body"]), r["segment_id"], r["cont"], r["flags"]) for r in cut.collect()}
+    want = {}
+    for seq in (0, 1, 2, 4, 5, 6):
+        whole = b"%d" % seq * 40
+        parts = [whole[i : i + 16] for i in range(0, 40, 16)]
+        ids = [hashlib.sha256(whole).hexdigest()[:32]] + [hashlib.sha256(p).hexdigest()[:32] for p in parts[1:]]
+        for k, p in enumerate(parts):
+            want[seq, k + 1] = (p, ids[k], ids[k + 1][:8] if k < 2 else "00000000", (52, 16, 80)[k])
+    assert got == want
+
+
+def test_equal_places_fill_several_silos(spark, tmp_path):
+    a = made(spark, tmp_path)
+    bodies = random_bodies(15)
+    a.store(payloads(spark, bodies).withColumn("seq", F.when(F.col("seq") % 3 > 0, F.lit(0).cast("long"))))
+    found = silo.enumerate_silos(str(tmp_path))
+    assert len(found) > 3 and all(os.path.getsize(p) <= 15360 for p in found)
+    stored = sorted(bytes(r["body"]) for r in a.records(body=True).where("warc_type <> 'warcinfo'").collect())
+    assert stored == sorted(b[i : i + 3840] for b in bodies for i in range(0, len(b), 3840))  # segments of a quarter of a silo
+    firsts = [next(silo.read_silo(p, False, False))[4] for p in found]
+    assert set(firsts) == {"warcinfo"}
