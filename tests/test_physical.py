@@ -378,3 +378,19 @@ def test_equal_places_fill_several_silos(spark, tmp_path):
     assert stored == sorted(b[i : i + 3840] for b in bodies for i in range(0, len(b), 3840))  # segments of a quarter of a silo
     firsts = [next(silo.read_silo(p, False, False))[4] for p in found]
     assert set(firsts) == {"warcinfo"}
+
+
+def test_writing_takes_batches(tmp_path, monkeypatch):
+    import pyarrow as pa
+    import pyspark
+
+    class Context:
+        partitionId, taskAttemptId = staticmethod(lambda: 2), staticmethod(lambda: 7)
+
+    monkeypatch.setattr(pyspark.TaskContext, "get", staticmethod(lambda: Context))
+    records = [silo.encode(f"{i:032x}", {"WARC-Type": "resource"}, b"%d" % i) for i in range(6)]
+    batches = [pa.RecordBatch.from_pydict({"silo": pa.array([k, k, k + 1], pa.int32()), "record": pa.array(r, pa.binary())}) for k, r in ((4, records[:3]), (6, records[3:]))]
+    writer = silo._Writer({"path": str(tmp_path)})
+    writer.commit([writer.write(iter(batches))])
+    got = [int(r[3], 16) for p in silo.enumerate_silos(str(tmp_path)) for r in silo.read_silo(p, False, False)]
+    assert got == list(range(6)) and len(os.listdir(tmp_path / "0")) == 4
