@@ -62,3 +62,12 @@ def stream_store(archive, path: str, folder: str | None = None, files_each: int
     stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_each).parquet(path)
     query = stream.writeStream.foreachBatch(lambda batch, _: archive.store(batch)).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
+
+
+def spread(payloads: DataFrame, path: str, size: int = 1 << 26, least: int = 3) -> int:
+    """Write (seq, payload) as files in order of ``seq``, each of about ``size``
+    bytes of payload, ``least`` files at least; how many."""
+    total = payloads.agg(F.sum(F.octet_length("payload").cast("long"))).first()[0] or 0
+    files_ = max(least, -(-total // size))
+    payloads.repartitionByRange(files_, "seq").write.parquet(path)
+    return files_

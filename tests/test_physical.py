@@ -394,3 +394,13 @@ def test_writing_takes_batches(tmp_path, monkeypatch):
     writer.commit([writer.write(iter(batches))])
     got = [int(r[3], 16) for p in silo.enumerate_silos(str(tmp_path)) for r in silo.read_silo(p, False, False)]
     assert got == list(range(6)) and len(os.listdir(tmp_path / "0")) == 4
+
+
+def test_a_stream_comes_in_even_files(spark, tmp_path):
+    """Files of an incoming stream are bounded by bytes; their number grows with the rows."""
+    rows = spark.createDataFrame([(i, bytearray(b"%06d" % i * 100)) for i in range(400)], PAYLOAD)
+    few, many = (ingest.spread(rows, str(tmp_path / name), size) for name, size in (("few", 1 << 30), ("many", 24_000)))
+    assert few == 3 and many == 10
+    for name, n in (("few", 3), ("many", 10)):
+        files = spark.read.parquet(str(tmp_path / name)).groupBy(F.input_file_name()).agg(F.count("*").alias("n"), F.min("seq").alias("low"), F.max("seq").alias("high")).orderBy("low").collect()
+        assert len(files) == n and sum(r["n"] for r in files) == 400 and all(a["high"] < b["low"] for a, b in zip(files, files[1:])) and max(r["n"] for r in files) < 800 // n
