@@ -396,6 +396,18 @@ def test_writing_takes_batches(tmp_path, monkeypatch):
     assert got == list(range(6)) and len(os.listdir(tmp_path / "0")) == 4
 
 
+def test_key_stream_of_a_chunk_is_one_value(spark):
+    """Counters go through the cipher together, and carry into their upper half."""
+    high = (1 << 128) - 3
+    assert B.counters(high, 5) == b"".join(((high + k) % (1 << 128)).to_bytes(16, "big") for k in range(5))
+    low = (7 << 64) - 2
+    assert B.counters(low, 4) == b"".join((low + k).to_bytes(16, "big") for k in range(4)) and B.counters(9, 0) == b""
+    rows = spark.createDataFrame([(b"k" * 32, B.counters(high, 5))], "key binary, counters binary")
+    each = F.expr("substring(aes_encrypt(substring(counters, 33, 16), key, 'ECB', 'PKCS'), 1, 16)")
+    r = rows.select(B.key_stream(F.col("counters"), F.col("key")).alias("stream"), each.alias("third")).first()
+    assert len(r["stream"]) == 80 and r["stream"][32:48] == r["third"]
+
+
 def test_a_stream_comes_in_even_files(spark, tmp_path):
     """Files of an incoming stream are bounded by bytes; their number grows with the rows."""
     rows = spark.createDataFrame([(i, bytearray(b"%06d" % i * 100)) for i in range(400)], PAYLOAD)
