@@ -1,5 +1,6 @@
 """Connected components: local contraction, then alternating large-star and
-small-star steps until only stars are left."""
+small-star steps until only stars are left, or so few edges that one task's
+table holds them all."""
 
 from __future__ import annotations
 
@@ -54,10 +55,14 @@ def components(links: DataFrame) -> DataFrame:
     after its smallest node.
 
     Both steps aggregate a node's neighbours to their minimum and join it back,
-    so a node with very many links is only a skewed join."""
+    so a node with very many links is only a skewed join.  Fewer than ``_HELD``
+    contracted edges need no exchange: one task's table makes stars of them."""
     edges = links.select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).where("u <> v")
     while True:
         edges = materialize(edges.mapInArrow(_contract, "u long, v long"), "links")
+        if edges.count() < _HELD:
+            edges = materialize(edges.coalesce(1).mapInArrow(_contract, "u long, v long"), "links")
+            break
         if _only_stars(edges):
             break
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -241,20 +241,20 @@ def _pair_up(tables: int):
 
 
 def _mixed(tables: int):
-    """Keys of a bucket whose members lie in several components."""
+    """In each key group of a bucket whose members lie in several components,
+    the smallest component with every other."""
 
     def run(group: pa.Table) -> pa.Table:
         x = _entries(group, tables)
-        e, j, key = x.collide()
+        e, _, key = x.collide()
         at = heads(key)
         size = np.diff(np.r_[at, len(e)])
         comp = x.comp[e]
-        hit = np.zeros(len(at), bool)
-        if len(at):
-            hit = np.minimum.reduceat(comp, at) != np.maximum.reduceat(comp, at)
-        keep = np.flatnonzero(np.repeat(hit, size))
-        keep = keep[heads(key[keep], comp[keep])] if len(keep) else keep
-        return pa.table({"k": x.key[e[keep]].view(np.int64), "j": j[keep].astype(np.int32), "second": x.second[e[keep], j[keep]].view(np.int32), "component": comp[keep]})
+        one, two = np.repeat(comp[at], size), comp
+        keep = np.flatnonzero(one != two)
+        order = keep[np.lexsort((two[keep], one[keep]))]
+        order = order[heads(one[order], two[order])]
+        return pa.table({"a": one[order], "b": two[order]})
 
     return run
 
@@ -393,13 +393,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows:
     named = materialize(components(links), "near-components")
     again = keyed.join(named, keyed.rep == named.node, "left").select("rep", "n", F.coalesce("component", "rep").alias("component"), "a", "b")
     again = materialize(again, "near-again")
-    mixed = again.mapInArrow(_send_keys(tables, buckets, False), _SENT).groupBy("bucket").applyInArrow(_mixed(tables), "k long, j int, second int, component long")
+    mixed = again.mapInArrow(_send_keys(tables, buckets, False), _SENT).groupBy("bucket").applyInArrow(_mixed(tables), "a long, b long")
     mixed = materialize(mixed, "near-mixed")
     if mixed.take(1):
         # families: components that keys hold together; their members meet in pairs of blocks
-        key = ["k", "j", "second"]
-        least = materialize(mixed.groupBy(*key).agg(F.min("component").alias("a")), "near-least")
-        family = components(mixed.join(least, key).select("a", F.col("component").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("family"))
+        family = components(mixed).select(F.col("node").alias("component"), F.col("component").alias("family"))
         inside = materialize(again.select("rep", "component").join(family, "component"), "near-inside")
         of = sets.dropDuplicates(["id"])
         lead = inside.groupBy("family").agg(F.min("rep").alias("id")).join(of, "id").select("family", F.col("shingles").alias("common"))
